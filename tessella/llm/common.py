@@ -27,7 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
 
 
-def stored(df: DataFrame, *also: DataFrame) -> DataFrame:
+_written: list[str] = []
+
+
+def stored(df: DataFrame) -> DataFrame:
     """Writes rows to the shared folder and reads them back: a lost executor costs no recomputation.
 
     The shuffles behind the rows are let go once nothing refers to them.
@@ -35,11 +38,20 @@ def stored(df: DataFrame, *also: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     release(spark)
     return out
 
 
+def forget(spark: SparkSession) -> None:
+    """Deletes what stored() wrote. Only for when no frame that was built on it is still to be read."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of frames that are out of use."""
     gc.collect()

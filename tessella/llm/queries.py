@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, secret_scan, urls
+from . import ann, bpe, chat, decontam, html_text, jaccard, langid, secret_scan, substring, urls
 from .common import table
 
 
@@ -18,6 +18,10 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = [(-1, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))]
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -44,12 +48,24 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(substring.dedup(table(spark, sf_dir, "documents")))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.verdicts(decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_chat_format, op3_secret_scan, op4_byte_bpe, op5_url_filter, op6_language_id, op10_decontaminate)
+    f.__name__: f for f in (op1_nearest, op2_chat_format, op3_secret_scan, op4_byte_bpe, op5_url_filter, op6_language_id, op7_substring_dedup, op8_jaccard_join, op9_html_text, op10_decontaminate)
 }
 
 SQL: dict[str, str] = {}
