@@ -194,7 +194,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 
 
 def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of one document of each component, the least id, with all their columns."""
+    """One row of one document of each component, that of the least id, with all its columns. Rows with a null id all stay."""
     found = link(docs, id_col, text_col)
     extra = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(extra, docs[id_col] == extra["__id"], "left_anti")
+    left = docs.join(extra, docs[id_col] == extra["__id"], "left_anti")
+    again = stored(docs.select(F.col(id_col).alias("__id")).where("__id is not null").groupBy("__id").count().where("count > 1").select("__id"))
+    if not again.limit(1).count():
+        return left
+    same = left[id_col] == again["__id"]
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col]))
