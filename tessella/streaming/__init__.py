@@ -1,0 +1 @@
+"""Empty on purpose: tables here are immutable, and no operator of this engine works on streams."""
