@@ -84,7 +84,7 @@ class Derived:
 
 def estimate(df: DataFrame) -> int:
     """Spark's estimate of a frame's bytes after optimization."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 class Engine:

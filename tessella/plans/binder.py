@@ -101,18 +101,20 @@ class Binder:
     def placed(relation: Relation) -> Relation:
         return replace(relation, df=relation.df.withColumn(A.POSITION, F.monotonically_increasing_id()))
 
-    def source(self, source: X.Source, env: dict[str, Relation]) -> Relation:
+    def source(self, source: X.Source, env: dict[str, Relation], joined: bool = False) -> Relation:
+        """A joined table must be known; in FROM any other name means the base table."""
         if source.query is not None:
             return self.derive(source.query, env).named(source.alias or "")
-        found = env.get(source.name) or self.catalog.table(source.name) or self.catalog.base()
+        found = env.get(source.name) or self.catalog.table(source.name) or (None if joined else self.catalog.base())
         if found is None:
-            raise SqlError(f"unknown table '{source.name}'", source.span)
+            near = suggestion(source.name, env)
+            raise SqlError(f"unknown table '{source.name}'", source.span, f"did you mean '{near}'?" if near else None)
         return found.named(source.alias or source.name)
 
     # joins
 
     def join(self, left: Relation, join: X.Join, env: dict[str, Relation]) -> Relation:
-        right = self.source(join.source, env)
+        right = self.source(join.source, env, joined=True)
         alias = join.source.alias or join.source.name
         if alias in left.tables():
             raise SqlError(f"the name '{alias}' is already used in this query", join.source.span, "give the table an alias of its own")
@@ -145,7 +147,7 @@ class Binder:
         taken = {f.name for f in left.fields if not f.hidden}
         inner_keys = {k.inner for k in keys}
         added = [replace(f, name=f"{alias}_{f.name}" if f.name in taken else f.name, table=alias, own=f.name, hidden=f.inner in inner_keys) for f in right.visible()]
-        fields = (*left.fields, *sorted(added, key=lambda f: f.name))
+        fields = (*left.fields, *sorted(added, key=lambda f: f.own))
         return Relation(left.df.join(right.df, condition, join.how), fields, f"{left.key} {join.how} {right.key} on {[(x.own, y.own) for x, y in pairs]}")
 
     @staticmethod

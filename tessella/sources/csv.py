@@ -23,7 +23,9 @@ def read_text_csv(spark: SparkSession, path: str | list[str], multiline: bool =
     files are split.
     """
     df = spark.read.options(header=True, quote='"', escape='"', multiLine=multiline, mode="FAILFAST", inferSchema=False).csv(path)
-    return df.toDF(*(c.removeprefix("﻿") for c in df.columns))
+    df = df.toDF(*(c.removeprefix("\ufeff").rstrip("\r") for c in df.columns))
+    last = df.columns[-1]  # where line ends differ, a carriage return may be left at the end
+    return df.withColumn(last, F.nullif(F.regexp_replace(_cell(last), "\r$", ""), F.lit("")))
 
 
 def _cell(name: str) -> Column:
