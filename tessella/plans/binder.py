@@ -148,7 +148,10 @@ class Binder:
         inner_keys = {k.inner for k in keys}
         added = [replace(f, name=f"{alias}_{f.name}" if f.name in taken else f.name, table=alias, own=f.name, hidden=f.inner in inner_keys) for f in right.visible()]
         fields = (*left.fields, *sorted(added, key=lambda f: f.own))
-        return Relation(left.df.join(right.df, condition, join.how), fields, f"{left.key} {join.how} {right.key} on {[(x.own, y.own) for x, y in pairs]}")
+        key = f"({left.key} as {sorted(left.tables())} {join.how} {right.key} as {alias} on {[(x.table, x.own, y.own) for x, y in pairs]})"
+        build = lambda: Relation(left.df.join(right.df, condition, join.how), fields, key)
+        # a join that comes again serves any choice of columns, as it holds all of them
+        return build() if A.POSITION in left.df.columns else self.catalog.derived(key, build)
 
     @staticmethod
     def side(column: X.Column, relation: Relation) -> Field | None:

@@ -71,6 +71,14 @@ def test_derived_tables_are_reused(engine, tmp_path):
     assert engine.cache_stats().entries == 0 and rows(engine.query(sql)) == [(3,)]
 
 
+def test_joins_are_reused_for_other_columns(engine, spark, tmp_path):
+    engine.materialize("p", "select * from t", "t", persist=str(tmp_path / "p"))
+    engine.materialize("d", "select n, name || '!' as label from t where n is not null", "t", persist=str(tmp_path / "d"))
+    for columns, want in (("count(label)", 4), ("max(x)", 5.5), ("max(d.n)", 6)):
+        assert rows(engine.query(f"select {columns} from p left join d on p.n = d.n")) == [(want,)]
+    assert engine.cache_stats().hits == 2 and engine.cache_stats().entries == 1
+
+
 def test_materialize(engine, tmp_path):
     assert engine.materialize("m", "select name, n > 1 as many from t order by n")["rows"] == 6
     assert rows(engine.query("select sum(many) from m")) == [(4,)]
