@@ -142,7 +142,7 @@ _STATEMENTS: dict[str, tuple[str, str, str | None]] = {
     "unaccent": ("documents", "select doc_id, unaccent(substr(text, 1, 40)) as u from t", "select doc_id, strip_accents(substr(text, 1, 40)) as u from documents"),
     "geo_distance": ("customer", "select c_custkey, round(geo_distance(c_nationkey, 0, 10, c_nationkey * 2), 3) as d from t", "select c_custkey, round(2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(10 - c_nationkey) / 2), 2) + cos(radians(c_nationkey)) * cos(radians(10)) * pow(sin(radians(c_nationkey * 2) / 2), 2)))) * 1000.0) / 1000.0 as d from customer"),
     "country_name": ("nation", "select n_nationkey, country_name('de') as a, country_name('xx') as b from t", "select cast(n_nationkey as bigint) as n_nationkey, 'Germany' as a, 'xx' as b from nation"),
-    "format_number": ("customer", "select c_custkey, format_number(c_custkey * 1000, 'en-US') as a, format_number(c_custkey * 100000, 'en-US:compact') as b from t where c_custkey < 10", "select c_custkey, c_custkey || ',000' as a, case when c_custkey = 0 then '0' else (c_custkey * 100) || 'K' end as b from customer where c_custkey between 1 and 9"),
+    "format_number": ("customer", "select c_custkey, format_number(c_custkey * 1000, 'en-US') as a, format_number(c_custkey * 100000, 'en-US:compact') as b from t where c_custkey between 1 and 9", "select c_custkey, c_custkey || ',000' as a, case when c_custkey = 0 then '0' else (c_custkey * 100) || 'K' end as b from customer where c_custkey between 1 and 9"),
 }
 
 
