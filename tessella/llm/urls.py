@@ -27,7 +27,7 @@ from .common import by_batch
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Words of unwanted and of ordinary addresses, commonest first, for the built-in lexicon and samples.
 UNWANTED = (
-    "spam adult porn xxx sex casino poker slots bet betting gambling viagra pills pharmacy cheap loans payday crack warez torrent keygen malware phishing hack cheats escort dating nude cam webcam farm clickbait scam fake replica bitcoin doubler lottery jackpot"
+    "spam ads adserver tracker track popup adult porn xxx sex casino poker slots bet bets betting gambling viagra pills pharmacy cheap loans payday crack warez torrent keygen malware phishing hack cheats escort dating nude cam webcam farm clickbait scam fake replica bitcoin doubler lottery jackpot"
 ).split()
 ORDINARY = (
     "news blog shop store home page en de fr es www mail docs help support forum wiki data science school health travel music sports weather food recipes garden art books library history culture world local city media press office cloud code dev open source project research journal review guide learn course example html index article post archive photo video map event team about contact"
