@@ -58,7 +58,7 @@ _STATEMENTS: dict[str, tuple[str, str, str | None]] = {
     # texts
     "upper_lower": ("part", "select p_partkey, upper(p_name) as u, lower(p_brand) as l from t", "select p_partkey, upper(p_name) as u, lower(p_brand) as l from part"),
     "length": ("part", "select p_partkey, length(p_name) as n from t", "select p_partkey, cast(length(p_name) as bigint) as n from part"),
-    "length_unicode": ("documents", "select doc_id, length(text) as n, lower(substr(text, 1, 20)) as u from t", "select doc_id, cast(length(text) as bigint) as n, lower(substr(text, 1, 20)) as u from documents"),
+    "length_unicode": ("documents", "select doc_id, length(text) as n, lower(text) as u from t", "select doc_id, cast(length(text) as bigint) as n, lower(text) as u from documents"),
     "substr": ("part", "select p_partkey, substr(p_name, 3) as a, substr(p_name, 2, 4) as b, substr(p_name, -3, 2) as c, substr(p_name, 2, -1) as d from t", "select p_partkey, substr(p_name, 3) as a, substr(p_name, 2, 4) as b, substr(p_name, -3, 2) as c, '' as d from part"),
     "concat_op": ("nation", "select n_name || '/' || text(n_regionkey) as a, concat(n_name, 1, 'x') as b from t", "select n_name || '/' || n_regionkey as a, n_name || '1x' as b from nation"),
     "trim_chars": ("part", "select p_partkey, trim(p_brand, 'Bd#1') as a, ltrim('  x ') as b, rtrim(p_brand, '0123456789') as c from t", "select p_partkey, trim(p_brand, 'Bd#1') as a, 'x ' as b, rtrim(p_brand, '0123456789') as c from part"),
@@ -139,10 +139,10 @@ _STATEMENTS: dict[str, tuple[str, str, str | None]] = {
     "regexp_replace": ("part", "select p_partkey, regexp_replace(p_name, '([aeiou])', '<$1>') as r from t", "select p_partkey, regexp_replace(p_name, '([aeiou])', '<\\1>', 'g') as r from part"),
     "json_extract": ("events", "select event_id, int(json_extract(props, '$.k')) as k, json_extract(props, '$.none') as z from t", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, cast(null as varchar) as z from events"),
     "url_host": ("pages", "select page_id, url_host(url) as h from t", "select page_id, regexp_extract(url, '://([^/?#]*)', 1) as h from pages"),
-    "unaccent": ("documents", "select doc_id, unaccent(substr(text, 1, 40)) as u from t", "select doc_id, strip_accents(substr(text, 1, 40)) as u from documents"),
+    "unaccent": ("documents", "select doc_id, unaccent(text) as u from t", "select doc_id, strip_accents(text) as u from documents"),
     "geo_distance": ("customer", "select c_custkey, round(geo_distance(c_nationkey, 0, 10, c_nationkey * 2), 3) as d from t", "select c_custkey, round(2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(10 - c_nationkey) / 2), 2) + cos(radians(c_nationkey)) * cos(radians(10)) * pow(sin(radians(c_nationkey * 2) / 2), 2)))) * 1000.0) / 1000.0 as d from customer"),
     "country_name": ("nation", "select n_nationkey, country_name('de') as a, country_name('xx') as b from t", "select cast(n_nationkey as bigint) as n_nationkey, 'Germany' as a, 'xx' as b from nation"),
-    "format_number": ("customer", "select c_custkey, format_number(c_custkey * 1000, 'en-US') as a, format_number(c_custkey * 100000, 'en-US:compact') as b from t where c_custkey between 1 and 9", "select c_custkey, c_custkey || ',000' as a, case when c_custkey = 0 then '0' else (c_custkey * 100) || 'K' end as b from customer where c_custkey between 1 and 9"),
+    "format_number": ("customer", "select c_custkey, format_number(c_custkey * 1000, 'en-US') as a, format_number(c_custkey * 100000, 'en-US:compact') as b from t", "select c_custkey, case when c_custkey = 0 then '0' else format('{:,}', c_custkey * 1000) end as a, case when c_custkey = 0 then '0' when c_custkey < 10 then (c_custkey * 100) || 'K' when c_custkey < 10000 then (c_custkey // 10) || case when c_custkey % 10 > 0 then '.' || (c_custkey % 10) else '' end || 'M' else regexp_replace(cast(round(c_custkey / 10000.0, 1) as varchar), '[.]0$', '') || 'B' end as b from customer"),
 }
 
 
