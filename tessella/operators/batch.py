@@ -16,7 +16,7 @@ from ..functions.kinds import SPARK, Kind, Typed
 from ..functions.registry import AGGREGATES
 from ..plans import syntax as X
 from ..plans.binder import Binder, Scope, conjuncts, walk
-from ..plans.relation import Field, Relation, fresh
+from ..plans.relation import Relation
 
 FUSED = ("count", "sum", "min", "max")
 
@@ -38,7 +38,7 @@ def plan_of(binder: Binder, query: X.Query, relation: Relation) -> Plan | None:
     if query.ctes or query.joins or query.source.query is not None or len(query.group_by) > 1:
         return None
     parts = [i.expr for i in query.items] + conjuncts(query.where)
-    if any(isinstance(x, (X.InQuery, X.Exists, X.Star)) and not (isinstance(x, X.Star)) for e in parts for x in walk(e)):
+    if any(isinstance(x, (X.InQuery, X.Exists)) for e in parts for x in walk(e)):
         return None
     scope = Scope(relation, {})
     items = list(query.items)
@@ -136,5 +136,3 @@ def _result(binder: Binder, p: Plan, place: list[tuple[str, int] | None], table:
         order.append((bound[next(i for i, x in enumerate(items) if x.expr == target)], o.descending))
     return binder.finish(p.query, items, bound, order, lambda columns: own.select(columns), p.relation)
 
-
-__all__ = ["FUSED", "Field", "Plan", "fresh", "plan_of", "run"]

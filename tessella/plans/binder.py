@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregate as A
 from ..functions import scalar as S
-from ..functions.kinds import SPARK, Kind, Typed, common, literal, number
+from ..functions.kinds import Kind, Typed, common, literal
 from ..functions.registry import AGGREGATES, FUNCTIONS, INTERNAL
 from . import syntax as X
 from .diagnostics import Span, SqlError, suggestion
@@ -500,5 +500,3 @@ def is_unique(df: DataFrame, keys: list[str]) -> bool:
     rows = df.select(*keys).dropna("any").groupBy(*keys).count().where("count > 1")
     return not rows.limit(1).count()
 
-
-__all__ = ["Binder", "SPARK", "Scope", "is_unique", "number"]
