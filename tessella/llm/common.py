@@ -119,7 +119,7 @@ class Words:
         self.data = data
         ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, int)
         self.at = np.concatenate([[0], np.searchsorted(self.start, ends)])
-        self.offset = np.concatenate([[0], ends])
+        self.text = np.repeat(np.arange(len(texts)), np.diff(self.at))
         with np.errstate(over="ignore"):
             run = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * _power("up", len(data)), dtype=np.uint64)])
             self.hash = mix((run[self.end] - run[self.start]) * _power("down", len(data) + 1)[self.start] + (self.end - self.start).astype(np.uint64))
@@ -137,7 +137,7 @@ def grams(words: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     return mix(out)
 
 
-def chunks(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring texts of about so many bytes, for arrays of bounded size."""
     at = size = 0
     for i, t in enumerate(texts):

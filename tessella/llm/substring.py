@@ -31,58 +31,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, by_batch, chunks, grams, raw, stored
+from .common import Words, by_batch, chunks, grams, mix, raw, stored
 
 WINDOW, GRAM = 20, 8
-#: Segments of one automaton, and of an anchor that is dealt by anchor; beyond it is dealt by window.
+#: Segments of one automaton, about.
 SHARD_SEGMENTS = 4000
+#: Segments of an anchor up to which they are dealt by anchor; beyond, by window.
+ANCHOR_SEGMENTS = 4000
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Id that stands for null: below all others.
 NO_ID = -(1 << 63)
 
 
-def anchors(words: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first, count): windows first .. first + count - 1 have their least gram at one place, with that hash."""
-    g = grams(words, gram)
-    n = len(words) - window + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least, run = g, 1
-    while run < window - gram + 1:  # running minimum by doubling; ties keep the value, whose place does not matter
-        step = min(run, window - gram + 1 - run)
-        least = np.minimum(least[:-step], least[step:])
-        run += step
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    return least[first], first, np.diff(np.append(first, n))
+def _running_least(values: np.ndarray, run: int) -> np.ndarray:
+    """Least of each run of neighbours, by doubling."""
+    have = 1
+    while have < run:
+        step = min(have, run - have)
+        values = np.minimum(values[:-step], values[step:])
+        have += step
+    return values
 
 
-def _again(found: np.ndarray, words: np.ndarray, gram: int) -> np.ndarray:
-    """2 for anchors whose gram the document has more than once, so that a window may repeat inside one segment; else 1."""
-    values, counts = np.unique(grams(words, gram), return_counts=True)
-    more = values[counts > 1]
-    return np.where(np.isin(found, more), 2, 1) if len(more) else np.ones(len(found), np.int64)
+def _anchor_rows(docs: DataFrame, window: int, gram: int, times: bool = False) -> DataFrame:
+    """(anchor, id, row, first, n): windows first .. first + n - 1 have their least gram's hash in common. All texts of a chunk at once.
 
+    times: adds 2 for anchors whose gram the text has more than once, so that a window may repeat inside one
+    segment, and 1 for others.
+    """
 
-def _each(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, word hashes) of a batch's texts."""
-    texts = raw(batch.column(1))
-    for a, b in chunks(texts):
-        w = Words(texts[a:b])
-        for i in range(b - a):
-            yield a + i, w.hash[w.at[i] : w.at[i + 1]]
-
-
-def _anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [(i, *(a := anchors(h, window, gram)), _again(a[0], h, gram)) for i, h in _each(batch)]
-        rows = np.concatenate([np.full(len(x[1]), x[0]) for x in found] or [np.zeros(0, np.int64)])
-        join = lambda k, t: np.concatenate([x[k] for x in found] or [np.zeros(0, t)])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(join(1, np.uint64).view(np.int64)), batch.column(0).take(pa.array(rows.astype(np.int64))), pa.array(join(2, np.int64).astype(np.int32)), pa.array(join(3, np.int64).astype(np.int32)), pa.array(join(4, np.int64))],
-            ["anchor", "id", "first", "n", "times"],
-        ).add_column(2, "row", batch.column(2).take(pa.array(rows.astype(np.int64))))
-
-    return by_batch(docs, step, "anchor long, id long, row long, first int, n int, times long")
+        texts = raw(batch.column(1))
+        found: list[list[np.ndarray]] = []
+        for a, b in chunks(texts):
+            w = Words(texts[a:b])
+            if len(w.hash) < window:
+                continue
+            g = grams(w.hash, gram)
+            start = np.flatnonzero(w.text[: len(w.text) - window + 1] == w.text[window - 1 :])
+            least = _running_least(g, window - gram + 1)[start]
+            text = w.text[start]
+            edge = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (text[1:] != text[:-1])])) if len(start) else np.zeros(0, np.int64)
+            one = [least[edge], a + text[edge], start[edge] - w.at[text[edge]], np.diff(np.append(edge, len(start)))]
+            if times:
+                inside = np.flatnonzero(w.text[: len(g)] == w.text[gram - 1 :])
+                with np.errstate(over="ignore"):
+                    values, counts = np.unique(g[inside] + mix(w.text[inside].astype(np.uint64)), return_counts=True)
+                    one.append(np.where(np.isin(one[0] + mix(text[edge].astype(np.uint64)), values[counts > 1]), 2, 1))
+            found.append(one)
+        join = lambda k, t: np.concatenate([np.zeros(0, t), *(x[k] for x in found)]).astype(t)
+        rows = pa.array(join(1, np.int64))
+        arrays = [pa.array(join(0, np.uint64).view(np.int64)), batch.column(0).take(rows), batch.column(2).take(rows), pa.array(join(2, np.int32)), pa.array(join(3, np.int32))]
+        return pa.RecordBatch.from_arrays([*arrays, *([pa.array(join(4, np.int64))] if times else [])], ["anchor", "id", "row", "first", "n", *(["times"] if times else [])])
+
+    return by_batch(docs, step, "anchor long, id long, row long, first int, n int" + ", times long" * times)
 
 
 def _segments(docs: DataFrame, window: int) -> DataFrame:
@@ -212,12 +214,11 @@ def _by_window(segments: DataFrame, window: int) -> DataFrame:
     return later.select("id", "row", F.col("first").alias("start"), (F.col("first") + window).cast("int").alias("end"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, most: int = SHARD_SEGMENTS) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, most: int = SHARD_SEGMENTS, by_anchor: int = ANCHOR_SEGMENTS) -> DataFrame:
     """One row for each row: id, n_words, n_removed, kept (words joined by one space), removed (word ranges, sorted, apart)."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
-    found = lambda: _anchor_rows(rows, window, gram)
-    several = found().groupBy("anchor").agg(F.sum("times").alias("total")).where("total > 1")
-    places = found().join(several, "anchor").select("id", "row", "anchor", "first", "n", (F.col("total") > most).alias("hot"))
+    several = _anchor_rows(rows, window, gram, times=True).groupBy("anchor").agg(F.sum("times").alias("total")).where("total > 1")
+    places = _anchor_rows(rows, window, gram).join(several, "anchor").select("id", "row", "anchor", "first", "n", (F.col("total") > by_anchor).alias("hot"))
     by_doc = stored(places).groupBy("id", "row").agg(F.collect_set(F.struct("anchor", "first", "n", "hot")).alias("places"))
     segments = stored(_segments(rows.join(by_doc, ["id", "row"]).select("id", "text", "row", "places"), window))
     again = _shards(segments.where("not hot"), window, most)
