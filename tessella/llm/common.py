@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -63,13 +65,30 @@ def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def trim() -> None:
+    """Gives freed memory back at a task's end: workers live on, and what each keeps adds to its executor's."""
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    with contextlib.suppress(AttributeError, OSError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+#: Most bytes of an Arrow batch, and of the slice of it that a function sees.
+BATCH_BYTES, SLICE_BYTES = 8 << 20, 2 << 20
+
+
 def by_batch(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Arrow batches through a function, without a shuffle."""
+    """Arrow batches through a function, without a shuffle. Slices are small in bytes too, so long texts do not add up."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == "67108864b":  # Spark's own limit, with which each worker holds several times as much; a set one stays
+        conf.set(key, f"{BATCH_BYTES}b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                yield step(batch.slice(at, 2000))
+            size = max(1, min(2000, SLICE_BYTES * batch.num_rows // max(batch.nbytes, 1)))
+            for at in range(0, batch.num_rows, size):
+                yield step(batch.slice(at, size))
+        trim()
 
     return df.mapInArrow(run, schema)
 

@@ -77,7 +77,7 @@ class LangModel:
         at = 0
         while at < len(texts):
             size, end = 0, at
-            while end < len(texts) and (end == at or size + len(texts[end]) < 1 << 20):
+            while end < len(texts) and (end == at or size + len(texts[end]) < 1 << 18):
                 size += len(texts[end])
                 end += 1
             found, starts = features(texts[at:end])

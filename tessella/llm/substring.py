@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, by_batch, chunks, grams, mix, raw, stored
+from .common import Words, by_batch, chunks, grams, mix, raw, stored, trim
 
 WINDOW, GRAM = 20, 8
 #: Segments of one automaton, about.
@@ -191,6 +191,8 @@ def _shards(segments: DataFrame, window: int, most: int) -> DataFrame:
                 now.append(row)
             yield _ranges(found)
         yield _ranges(settled() + repeats_of(held, window))
+        held.clear()
+        trim()
 
     ordered = segments.select("anchor", "id", "row", "first", "n", "words").repartition("anchor").sortWithinPartitions("anchor", "id", "first")
     return ordered.mapInArrow(run, _RANGES)
