@@ -3,13 +3,15 @@
 Tokens are the distinct shingles of WORDS words of a text. Two sets of a Jaccard similarity of at
 least PERCENT / 100 share a token among the first n - ceil(PERCENT / 100 * n) + 1 of each, under any
 global order of all tokens. The first order sorts by how rare a shingle's rarest word is: only documents that share
-such a prefix token are candidates. Candidates must share a token under the other orders too,
-before the whole sets are compared.
+such a prefix token are candidates. Of these the sizes and sketches (counts of tokens in
+buckets, which bound the overlap) must allow a link, and prefixes under the other orders must share a token
+too, before the whole sets are compared.
 
-Copies are one set. Sets that share a prefix token are first compared with the least of them only;
-sets found alike make up a component, and only then are sets of different components that share a
-token compared with one another. So a group of copies costs as many comparisons as it has members, yet
-every two sets are compared or already known to be in one component.
+Copies are one set. Sets that share a prefix token are first compared with HUBS of them only, and sets found alike
+make up a component. Only sets of different components that share a token then meet: within lists of bounded
+length by their sketches; those of longer lists are first narrowed to sets with an equal part (see parts()), again
+with hubs first. So a group of copies costs comparisons in proportion to its members, yet any two sets
+that could link are compared or already known to be in one component.
 
 Null texts and texts without words have an empty set and link with nothing. Rows that repeat an id
 link with each other through the id. A null id takes part as a document whose component is null.
@@ -17,12 +19,14 @@ link with each other through the id. A null id takes part as a document whose co
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, by_batch, chunks, grams, mix, raw, stored
+from .common import Words, by_batch, chunks, grams, maybe_broadcast, mix, raw, stored, trim
 from .graph import components
 
 WORDS, PERCENT = 5, 80
@@ -41,22 +45,47 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _rarity(words: np.ndarray, hashes: np.ndarray, ranks: np.ndarray, k: int) -> np.ndarray:
-    """For each shingle how common its rarest word is; 0 is rarest."""
-    at = np.minimum(np.searchsorted(hashes, words), max(len(hashes) - 1, 0))
-    common = np.where(hashes[at] == words, ranks[at], 0) if len(hashes) else np.zeros(len(words), np.int64)
-    if len(words) < k:
-        return common.min(keepdims=True)
-    out = common[: len(words) - k + 1]
+def chunk_sets(w: Words, k: int, rarity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, token, rarity) of the distinct shingles of all texts of a chunk, by text, then token. A shingle is as common as its rarest word."""
+    words, text = w.hash, w.text
+    common = np.zeros(len(words), np.int64) if rarity is None else rarity
+    start = np.flatnonzero(text[: max(len(text) - k + 1, 0)] == text[k - 1 :])
+    token, owner, rare = grams(words, k)[start], text[start], common[start]
     for j in range(1, k):
-        out = np.minimum(out, common[j : len(words) - k + 1 + j])
-    return out
-
-
-def prefix(tokens: np.ndarray, rarity: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The first tokens of a set under the order of rarity, then hash."""
-    tokens, first = np.unique(tokens, return_index=True)
-    return tokens[np.lexsort((mix(tokens), rarity[first]))[: prefix_size(len(tokens), percent)]]
+        rare = np.minimum(rare, common[start + j])
+    count = np.diff(w.at)
+    short = np.flatnonzero((count > 0) & (count < k))  # one shingle each
+    if len(short):
+        token = np.concatenate([token, *(shingles(words[w.at[i] : w.at[i + 1]], k) for i in short)])
+        owner = np.concatenate([owner, short])
+        rare = np.concatenate([rare, [common[w.at[i] : w.at[i + 1]].min() for i in short]])
+    order = np.lexsort((token, owner))
+    token, owner, rare = token[order], owner[order], rare[order]
+    if len(token):
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])])
+        token, owner, rare = token[new], owner[new], rare[new]
+    return owner, token, rare
+
+
+def prefixes(owner: np.ndarray, token: np.ndarray, rare: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(text, token) of the first tokens of each set under the order of rarity, then hash, then token."""
+    if not len(token):
+        return owner, token
+    place = (owner.astype(np.uint64) << np.uint64(48)) | (np.minimum(rare, 31).astype(np.uint64) << np.uint64(43)) | (mix(token) >> np.uint64(21))
+    order = np.argsort(place, kind="stable")
+    owner, token = owner[order], token[order]
+    edge = np.flatnonzero(np.diff(owner, prepend=-1))
+    n = np.diff(np.append(edge, len(owner)))
+    first = np.arange(len(owner)) - np.repeat(edge, n) < np.repeat(n - -(-percent * n // 100) + 1, n)
+    return owner[first], token[first]
+
+
+def _rarity(words: np.ndarray, hashes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """How common each word is; 0 for those that the list does not have."""
+    if not len(hashes):
+        return np.zeros(len(words), np.int64)
+    at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
+    return np.where(hashes[at] == words, ranks[at], 0)
 
 
 def other_prefixes(tokens: np.ndarray, percent: int, seeds: tuple[int, ...] = (11, 12)) -> list[np.ndarray]:
@@ -88,29 +117,74 @@ def _common_words(docs: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
         hashes, n = np.unique(np.concatenate(seen), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
-    counted = by_batch(docs, count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    top = counted.orderBy(F.desc("n"), "word").limit(limit).toPandas()
+    counted = stored(by_batch(docs, count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"))
+    # a cutoff from counts of counts, so that no more words than the limit come to the driver
+    step = F.floor(F.log2("n") * 8).cast("int")
+    room, cutoff = limit, 1 << 20
+    for r in sorted(counted.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        cutoff = r["step"]
+    top = counted.where(step >= cutoff).toPandas()
     hashes = top["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], np.floor(np.log2(top["n"].to_numpy(np.float64) + 1)).astype(np.int64)[order]
 
 
+#: Buckets of the coarse sketch, which is compared within lists; the fine one has a bucket for about two tokens.
+COARSE = 128
+
+
+def coarse_sketches(owner: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
+    """For each of n sets, how many tokens fall into each bucket by hash, 255 at most. A token more or less changes one count by one at most."""
+    bucket = (mix(token + np.uint64(22)) % np.uint64(COARSE)).astype(np.int64)
+    return np.minimum(np.bincount(owner * COARSE + bucket, minlength=n * COARSE), 255).astype(np.uint8).reshape(n, COARSE)
+
+
+def fine_sketch(scrambled: np.ndarray) -> bytes:
+    """Counts in a power of two of buckets, so that those of a larger set can be folded. Empty, which rules nothing out, if one does not fit."""
+    buckets = 1 << max(5, (len(scrambled) // 2).bit_length())
+    counts = np.bincount((scrambled & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def _enough(n: np.ndarray, m: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of such sizes that differ in no fewer tokens can link."""
+    both = (n + m - differ) // 2
+    return 100 * both >= percent * (n + m - both)
+
+
+def may_link(x: bytes, y: bytes, n: int, m: int, percent: int = PERCENT) -> bool:
+    """Whether sets of sizes n and m with such fine sketches can link: they differ in no fewer tokens than their sketches do."""
+    if not x or not y:
+        return bool(_enough(n, m, abs(n - m), percent))
+    a, b = (np.frombuffer(s, np.uint8).astype(np.int64) for s in (x, y))
+    few = min(len(a), len(b))
+    return bool(_enough(n, m, np.abs(a.reshape(-1, few).sum(0) - b.reshape(-1, few).sum(0)).sum(), percent))
+
+
 def _sets(docs: DataFrame, k: int, kind: str) -> DataFrame:
-    """(id, n, set_hash): size and hash of each set; equal sets have equal hashes."""
+    """(id, n, set_hash, sketch, coarse): size, hash and sketches of each set; equal sets have equal hashes."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = raw(batch.column(1))
-        n, hashes = [], []
+        n, hashes, fine, rough = [], [], [], []
         for a, b in chunks(texts):
-            w = Words(texts[a:b], lower=True)
-            for i in range(b - a):
-                s = np.unique(shingles(w.hash[w.at[i] : w.at[i + 1]], k))
-                n.append(len(s))
-                with np.errstate(over="ignore"):
-                    hashes.append(int(mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))]))[0].view(np.int64)) if len(s) else None)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.int64())], ["id", "n", "set_hash"])
-
-    return by_batch(docs, step, f"id {kind}, n long, set_hash long")
+            owner, token, _ = chunk_sets(Words(texts[a:b], lower=True), k)
+            edge = np.searchsorted(owner, np.arange(b - a + 1))
+            scrambled = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(token), dtype=np.uint64)])
+            count = np.diff(edge)
+            with np.errstate(over="ignore"):
+                whole = mix(scrambled[edge[1:]] - scrambled[edge[:-1]] + count.astype(np.uint64)).view(np.int64)
+            n += count.tolist()
+            hashes += [int(h) if c else None for h, c in zip(whole, count, strict=True)]
+            rough += [x.tobytes() for x in coarse_sketches(owner, token, b - a)]
+            again = mix(token + np.uint64(21))
+            fine += [fine_sketch(again[x:y]) for x, y in zip(edge[:-1], edge[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.int64()), pa.array(fine, pa.binary()), pa.array(rough, pa.binary())], ["id", "n", "set_hash", "sketch", "coarse"])
+
+    return by_batch(docs, step, f"id {kind}, n long, set_hash long, sketch binary, coarse binary")
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np.ndarray], kind: str) -> DataFrame:
@@ -122,27 +196,101 @@ def _prefixes(docs: DataFrame, k: int, percent: int, common: tuple[np.ndarray, n
         tokens, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for a, b in chunks(texts):
             w = Words(texts[a:b], lower=True)
-            rarity = _rarity(w.hash, *shared.value, 1)
-            for i in range(b - a):
-                lo, hi = w.at[i], w.at[i + 1]
-                if hi > lo:
-                    rare = rarity[lo:hi]
-                    rare = rare.min(keepdims=True) if hi - lo < k else np.lib.stride_tricks.sliding_window_view(rare, k).min(1)
-                    got = prefix(shingles(w.hash[lo:hi], k), rare, percent)
-                    tokens.append(got)
-                    rows.append(np.full(len(got), a + i))
+            owner, token = prefixes(*chunk_sets(w, k, _rarity(w.hash, *shared.value)), percent)
+            tokens.append(token)
+            rows.append(a + owner)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(rows)))], ["token", "id"])
 
     return by_batch(docs, step, f"token long, id {kind}")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) pairs that may link by their sketches."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("sketch").alias(f"{c}_sketch"), F.col("n").alias(f"{c}_n"))
+    wide = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_sketch", "b_sketch", "a_n", "b_n")
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = [may_link(*row, percent) for row in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
+        return pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return by_batch(wide, step, f"a {kind}, b {kind}")
+
+
+#: Longest list whose sets are compared with one another as a whole, and pairs of sets that are compared at once.
+LIST, AT_ONCE = 2000, 100_000
+
+
+def _list_pairs(sizes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs within lists, some at a time."""
+    for k in np.unique(sizes[sizes > 1]):
+        i, j = np.triu_indices(k, 1)
+        at = starts[sizes == k]
+        lists = max(1, AT_ONCE // len(i))
+        for first in range(0, len(at), lists):
+            for part in range(0, len(i), AT_ONCE):
+                base = at[first : first + lists, None]
+                yield (base + i[None, part : part + AT_ONCE]).ravel(), (base + j[None, part : part + AT_ONCE]).ravel()
+
+
+def _within(rows: DataFrame, key: str, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) pairs of a list's sets of different components that may link by their coarse sketches.
+
+    rows: key, id, group, total (the list's length). Long lists are cut into blocks, of which every two meet in a list of
+    their own, so no task holds more than two blocks.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+    blocks = F.ceil(F.col("total") / LIST).cast("int")
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("total") / LIST)).cast("int")
+    cut = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = cut.select(
+        F.when(F.col("total") <= LIST, F.col(key)).otherwise(F.xxhash64(key, F.least("block", "other"), F.greatest("block", "other"))).alias("list"),
+        F.when(F.col("block") == F.col("other"), -1).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"),
+        "id",
+        F.xxhash64("group").alias("group"),
+    )
+    wide = met.join(sets.select("id", "n", "coarse"), "id").select("list", "side", "group", "id", "n", "coarse").repartition("list").sortWithinPartitions("list")
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        lists, side, group, n = (t[c].to_numpy() for c in ("list", "side", "group", "n"))
+        rough = np.frombuffer(b"".join(t["coarse"].to_pylist()), np.uint8).reshape(-1, COARSE)
+        ids = t["id"].combine_chunks()
+        edge = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
+        found: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+        for i, j in _list_pairs(np.diff(np.append(edge, len(lists))), edge):
+            ok = (group[i] != group[j]) & ((side[i] < 0) | (side[i] != side[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            i, j = i[ok], j[ok]
+            ok = _enough(n[i], n[j], np.abs(rough[i].astype(np.int16) - rough[j]).sum(1, dtype=np.int64), percent)
+            found.append(np.stack([i[ok], j[ok]]))
+        i, j = np.concatenate(found, 1)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(j))], ["x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            lists = t["list"].to_numpy()
+            last = int(np.flatnonzero(lists == lists[-1])[0]) if len(lists) else 0
+            held = t.slice(last)
+            if last:
+                yield compare(t.slice(0, last))
+        if held is not None and held.num_rows:
+            yield compare(held)
+        trim()
+
+    pairs = wide.mapInArrow(run, f"x {kind}, y {kind}")
+    return pairs.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
+def _verified(left: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The (a, b) pairs whose texts link. Each pair's texts meet in one row, so a set with many pairs is spread over tasks."""
-    text = lambda c: docs.select(F.col("id").alias(c), F.col("text").alias(f"{c}_text"))
-    wide = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "a_text", "b_text")
+    involved = stored(left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct())
+    texts = stored(docs.join(maybe_broadcast(involved), "id", "left_semi"))
+    text = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"{c}_text"))
+    wide = left.join(text("a"), "a").join(text("b"), "b").select("a", "b", "a_text", "b_text")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        left, right = raw(batch.column(2)), raw(batch.column(3))
         of: dict[bytes, np.ndarray] = {}
 
         def tokens(t: bytes) -> np.ndarray:
@@ -150,13 +298,95 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
                 of[t] = np.unique(shingles(Words([t], lower=True).hash, k))
             return of[t]
 
-        same = [alike(tokens(x), tokens(y), percent) for x, y in zip(left, right, strict=True)]
+        same = [alike(tokens(x), tokens(y), percent) for x, y in zip(raw(batch.column(2)), raw(batch.column(3)), strict=True)]
         return pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    kind = pairs.schema["a"].dataType.simpleString()
+    kind = left.schema["a"].dataType.simpleString()
     return by_batch(wide, step, f"a {kind}, b {kind}")
 
 
+#: Sets with which all others of a token or part are compared first.
+HUBS = 4
+
+
+def _star(postings: DataFrame, key: str, sizes) -> DataFrame:
+    """(a, b) pairs of each list's members with its hubs, the least members under several hash orders; least values are taken before the shuffle."""
+    member = F.struct("id", "n_min", "n_max")
+    asked = [F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), member.alias("m"))).alias(f"hub{i}") for i in range(HUBS)]
+    hubs = postings.groupBy(key).agg(*asked).select(key, F.explode(F.array_distinct(F.array(*(F.col(f"hub{i}.m") for i in range(HUBS))))).alias("hub"))
+    met = postings.join(hubs, key).where((F.col("id") != F.col("hub.id")) & sizes("n_min", "n_max", "hub.n_min", "hub.n_max"))
+    return met.select(F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b")).distinct()
+
+
+def _class_sizes(most: int) -> list[int]:
+    """Least sizes of the classes of sets: each is a quarter larger than the one before."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(max(out[-1] + 1, -(-5 * out[-1] // 4)))
+    return out
+
+
+def parts(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Keys of a set's parts. Two sets that link have a key in common.
+
+    Sets that link differ in few tokens, so of more parts than that, dealt by hash, one is equal in both. The number
+    of parts goes by class of size, and a set has keys for its own class and the next, which covers sizes up to a quarter
+    apart. Empty parts have keys only in sets of so few parts with tokens that all of those might differ.
+    """
+    n = len(tokens)
+    least = _class_sizes(n)
+    own = int(np.searchsorted(least, n, side="right")) - 1
+    grown = -(-100 * least[-1] // percent)
+    least = [*least, *(x for x in _class_sizes(2 * grown) if x > least[-1])]
+    out = []
+    scrambled = mix(tokens + np.uint64(31))
+    for size_class in (own, own + 1):
+        # sets of this class or the one below are smaller than the next class's least; 2 - 2t over 1 + t of both sizes may differ
+        differ = (100 - percent) * 2 * (least[size_class + 1] - 1) // (100 + percent)
+        number = differ + 1 + -(-15 * differ // 100)
+        part = (mix(tokens + np.uint64(41 + size_class)) % np.uint64(number)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        edge = np.flatnonzero(np.diff(part[order], prepend=-1))
+        with np.errstate(over="ignore"):
+            sums = np.add.reduceat(scrambled[order], edge)
+            keys = mix(sums + mix(part[order][edge].astype(np.uint64) + np.uint64(size_class << 32)))
+            out.append(keys)
+            if len(edge) <= differ:
+                empty = np.setdiff1d(np.arange(number), part).astype(np.uint64)
+                out.append(mix(mix(empty + np.uint64(size_class << 32)) + np.uint64(1)))
+    return np.concatenate(out)
+
+
+def _parts(docs: DataFrame, k: int, percent: int, kind: str) -> DataFrame:
+    """(part, id) for each key of each set."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        texts = raw(batch.column(1))
+        for a, b in chunks(texts):
+            w = Words(texts[a:b], lower=True)
+            for i in range(b - a):
+                s = np.unique(shingles(w.hash[w.at[i] : w.at[i + 1]], k))
+                if len(s):
+                    keys.append(parts(s, percent))
+                    rows.append(np.full(len(keys[-1]), a + i))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(rows)))], ["part", "id"])
+
+    return by_batch(docs, step, f"part long, id {kind}")
+
+
+def _several(rows: DataFrame, key: str) -> DataFrame:
+    """The keys that more than one id has; least and greatest ids are taken before the shuffle."""
+    return rows.groupBy(key).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select(key)
+
+
+def _mixed(postings: DataFrame, key: str, labels: DataFrame) -> DataFrame:
+    """(key, id, group, total) of the lists whose members are not all in one component."""
+    labelled = postings.select(key, "id").join(labels, "id", "left").select(key, "id", F.coalesce("component", "id").alias("group"))
+    mixed = labelled.groupBy(key).agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("total")).where("lo <> hi").select(key, "total")
+    return stored(labelled.join(mixed, key))
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, common_words: int = COMMON_WORDS) -> DataFrame:
     """One row for each row: doc_id, n_shingles, component_id (least id that links reach)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -164,31 +394,34 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     sets = stored(_sets(rows, words, kind))
     # the least id of each set stands for its copies, and one id of several rows joins their sets
     heads = sets.where(F.col("set_hash").isNotNull() & F.col("id").isNotNull()).groupBy("set_hash").agg(F.min("id").alias("head"))
-    members = stored(sets.join(heads, "set_hash", "left"))
+    members = stored(sets.select("id", "n", "set_hash").join(heads, "set_hash", "left"))
     copies = members.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    first = members.where("id = head").groupBy("id").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"))
+    sizes = lambda a_min, a_max, b_min, b_max: (100 * F.col(a_max) >= percent * F.col(b_min)) & (100 * F.col(b_max) >= percent * F.col(a_min))
 
-    heads_only = members.where("id = head").select("id", "set_hash").distinct()
     texts = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    tokens = lambda: _prefixes(texts, words, percent, common, kind)
     common = _common_words(rows, common_words)
-    # counts are summed before the shuffle; only tokens that several rows have are looked up again
-    several = tokens().groupBy("token").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("token", "hub")
-    postings = stored(tokens().join(several, "token").select("token", "id", "hub").join(heads_only.select("id"), "id", "left_semi"))
-    # the hub may be a copy's id: the least head among the token's postings takes its place
-    hubs = postings.groupBy("token").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("token", "hub")
-    postings = stored(postings.select("token", "id").join(hubs, "token"))
-    star = stored(postings.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
-    # of the texts only those that share a token are moved, and kept for both rounds
-    involved = postings.select("id").distinct()
-    texts_of = stored(texts.join(involved, "id", "left_semi"))
-    edges = stored(_verified(star, texts_of, words, percent).distinct())
-    labels = components(edges)
-    labelled = postings.select("token", "id").join(labels, "id", "left").select("token", "id", F.coalesce("component", "id").alias("group"))
-    mixed = labelled.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("token")
-    open_rows = stored(labelled.join(mixed, "token"))
-    a, b = (open_rows.select("token", F.col("id").alias(c), F.col("group").alias(f"{c}_group")) for c in ("a", "b"))
-    rest = a.join(b, "token").where("a > b and a_group <> b_group").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = stored(_verified(stored(rest), texts_of, words, percent).distinct())
+    tokens = lambda: _prefixes(texts, words, percent, common, kind)
+    postings = stored(tokens().join(_several(tokens(), "token"), "token"))
+    postings = postings.join(first, "id")
+    postings = stored(postings.join(_several(postings, "token"), "token"))  # where all rows but one were copies, one is left
+    compared = stored(_star(postings, "token", sizes))
+    edges = stored(_verified(stored(_possible(compared, sets, percent).distinct()), texts, words, percent).distinct())
+
+    open_lists = _mixed(postings, "token", components(edges))
+    found = _within(open_lists.where(F.col("total") <= LIST), "token", sets, percent)
+    # sets in longer lists are narrowed by parts, again with hubs first
+    crowd = stored(open_lists.where(F.col("total") > LIST).select("id").distinct())
+    if crowd.limit(1).count():
+        narrowed = stored(texts.join(maybe_broadcast(crowd), "id", "left_semi"))
+        part_rows = lambda: _parts(narrowed, words, percent, kind)
+        listed = stored(part_rows().join(_several(part_rows(), "part"), "part").distinct().join(first, "id"))
+        again = stored(_star(listed, "part", sizes).join(compared, ["a", "b"], "left_anti"))
+        edges = stored(edges.unionByName(_verified(stored(_possible(again, sets, percent).distinct()), narrowed, words, percent)).distinct())
+        compared = compared.unionByName(again)
+        found = found.unionByName(_within(_mixed(listed, "part", components(edges)), "part", sets, percent)).distinct()
+    rest = stored(found.join(compared, ["a", "b"], "left_anti"))
+    more = _verified(stored(_possible(rest, sets, percent).distinct()), texts, words, percent)
     final = components(edges.unionByName(more).unionByName(copies))
     return members.select("id", "n").join(final, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
