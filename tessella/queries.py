@@ -5,6 +5,7 @@ Most are statements of the dialect over the generated tables; the rest use opera
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -148,12 +149,18 @@ _STATEMENTS: dict[str, tuple[str, str, str | None]] = {
 
 def _statement(base: str, sql: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return opened(spark, sf_dir, base).query(sql, base)
+        return opened(spark, sf_dir, base, named_in(sql)).query(sql, base)
 
     return run
 
 
-def opened(spark: SparkSession, sf_dir: str, base: str, names: tuple[str, ...] = FLAT_TABLES) -> Engine:
+def named_in(*statements: str) -> tuple[str, ...]:
+    """The tables that statements name; opening a table reads its footer."""
+    words = {w for sql in statements for w in re.findall(r"\w+", sql)}
+    return tuple(t for t in FLAT_TABLES if t in words)
+
+
+def opened(spark: SparkSession, sf_dir: str, base: str, names: tuple[str, ...] = ()) -> Engine:
     engine = Engine(spark)
     for name in dict.fromkeys((*names, base)):
         engine.load_parquet(name, f"{sf_dir}/{name}.parquet")
@@ -198,7 +205,7 @@ _BATCH = (
 
 def batch_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
-    for i, df in enumerate(opened(spark, sf_dir, "lineitem").query(list(_BATCH), "lineitem")):
+    for i, df in enumerate(opened(spark, sf_dir, "lineitem", named_in(*_BATCH)).query(list(_BATCH), "lineitem")):
         part = df.select(F.lit(i).cast("long").alias("statement"), "v", "n")
         out = part if out is None else out.unionByName(part)
     return out
@@ -211,19 +218,19 @@ def matched_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def describe_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = opened(spark, sf_dir, "lineitem", ()).describe("lineitem")
+    found = opened(spark, sf_dir, "lineitem").describe("lineitem")
     rows = [(c["name"], c["kind"], found["rows"], c["nulls"]) for c in found["columns"]]
     return spark.createDataFrame(rows, "name string, kind string, n bigint, nulls bigint")
 
 
 def materialized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine = opened(spark, sf_dir, "orders", ())
+    engine = opened(spark, sf_dir, "orders")
     engine.materialize("by_status", "select o_orderstatus as s, count(*) as n, count(*) > 100 as many from t group by 1", "orders")
     return engine.query("select s, n, many from by_status where n > 0")
 
 
 def user_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine = opened(spark, sf_dir, "part", ())
+    engine = opened(spark, sf_dir, "part")
     engine.register_function("plus_one", lambda n: n + 1, ["int"], "int")
     engine.register_function("tag", lambda s, n: f"{s}:{n}", ["text", "int"], "text", per_row=True)
     return engine.query("select p_partkey, plus_one(nullif(p_size, 1)) as n, tag(p_brand, p_size) as g from t", "part")
