@@ -29,6 +29,8 @@ from .urls import host_of
 
 LONG = 8
 GROUP = 400
+#: Pages of one task, about.
+TASK_PAGES = 2000
 
 _TOKEN = re.compile(
     r"(?is)<!--.*?(?:-->|\Z)|<(script|style|title|noscript|template|svg|iframe|textarea|math|object|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
@@ -185,7 +187,10 @@ def texts_of(pages: Iterable[str | None], long: int = LONG) -> list[tuple[str, i
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = GROUP) -> DataFrame:
     """One row for each row: page_id, url, text, n_chars, n_repeated (tokens that other pages of the host repeat)."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
-    large = stored(rows.groupBy("host").count().where(F.col("count") > group).select("host", F.ceil(F.col("count") / group).alias("parts")))
+    counts = stored(rows.groupBy("host").count())
+    large = counts.where(F.col("count") > group).select("host", F.ceil(F.col("count") / group).alias("parts"))
+    # as many tasks as the pages ask for, whatever the session's number of shuffle partitions
+    tasks = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(counts.agg(F.sum("count")).first()[0] or 0) // TASK_PAGES))
     split = rows.join(maybe_broadcast(large), "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))))
     kind = pages.schema[id_col].dataType.simpleString()
 
@@ -196,4 +201,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         text = pa.array([x for x, _ in found], pa.string())
         return pa.table({"page_id": t["page_id"], "url": t["url"], "text": text, "n_chars": pa.array([len(x) for x, _ in found], pa.int64()), "n_repeated": pa.array([n for _, n in found], pa.int64())})
 
-    return split.select("host", "part", "page_id", "url", "html").groupBy("host", "part").applyInArrow(one, f"page_id {kind}, url string, text string, n_chars long, n_repeated long")
+    return split.select("host", "part", "page_id", "url", "html").repartition(tasks, "host", "part").groupBy("host", "part").applyInArrow(one, f"page_id {kind}, url string, text string, n_chars long, n_repeated long")
