@@ -8,13 +8,16 @@ menus, headers, footers, sidebars, notices, adverts, forms and comments are drop
 are unique. Of all other blocks, and only on pages without such elements, the runs that no other page
 has are kept.
 
-Pages of one host are taken in groups of about GROUP pages, so a large host is many groups. Pages
+Pages of one host are taken in groups of about GROUP pages, so a large host is many groups. What its
+groups repeat of each other is found by 64-bit hashes of LONG tokens, counted over the whole host and
+sent back to the groups that have them, so the result does not depend on the groups. Pages
 with equal token streams count as one page. Null html and html without text give an empty text;
 a null url counts as a host of its own.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterable
@@ -24,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stored
+from .common import Words, by_batch, grams, maybe_broadcast, stored
 from .urls import host_of
 
 LONG = 8
 GROUP = 400
 #: Pages of one task, about.
 TASK_PAGES = 2000
+#: Stands after each block; blocks are split at it, so no word has it.
+_END = "\x1f"
 
 _TOKEN = re.compile(
     r"(?is)<!--.*?(?:-->|\Z)|<(script|style|title|noscript|template|svg|iframe|textarea|math|object|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
@@ -156,8 +161,21 @@ def _unique(words: list[str], inside: np.ndarray, long: int) -> str:
     return " ".join(w for i, w in enumerate(words) if i not in gone)
 
 
-def texts_of(pages: Iterable[str | None], long: int = LONG) -> list[tuple[str, int]]:
-    """Main text of each of a host's pages, and how many of its tokens other pages repeat."""
+def _windows(blocks: list[tuple[str, str]], long: int) -> tuple[np.ndarray, int]:
+    """Hashes of each so many consecutive tokens of a page, and one of its whole token stream."""
+    stream = "".join(f"{text} {_END} " for _, text in blocks).encode("utf-8", "surrogatepass")
+    return grams(Words([stream]).hash, long), int.from_bytes(hashlib.blake2b(stream, digest_size=8).digest(), "little", signed=True)
+
+
+def _settled(blocks: list[tuple[str, str]]) -> bool:
+    return any(kind == "kept" for kind, _ in blocks)
+
+
+def texts_of(pages: Iterable[str | None], long: int = LONG, elsewhere: np.ndarray | None = None) -> list[tuple[str, int]]:
+    """Main text of each of a host's pages, and how many of its tokens other pages repeat.
+
+    elsewhere has hashes of windows that pages which are not given here share with those given, or among each other.
+    """
     parsed = [blocks_of(p or "") for p in pages]
     number: dict[str, int] = {"\n": 0}
     streams = []
@@ -170,7 +188,13 @@ def texts_of(pages: Iterable[str | None], long: int = LONG) -> list[tuple[str, i
     out = []
     for blocks, inside in zip(parsed, repeated(streams, long), strict=True):
         kept, at = [], 0
-        settled = any(kind == "kept" for kind, _ in blocks)
+        settled = _settled(blocks)
+        if elsewhere is not None and len(elsewhere):
+            hits = np.flatnonzero(np.isin(_windows(blocks, long)[0], elsewhere))
+            covered = np.zeros(len(inside) + 1, np.int64)
+            np.add.at(covered, hits, 1)
+            np.add.at(covered, hits + long, -1)
+            inside = inside | (np.cumsum(covered)[:-1] > 0)
         for kind, text in blocks:
             words = text.split(" ")
             if kind == "kept":
@@ -184,21 +208,60 @@ def texts_of(pages: Iterable[str | None], long: int = LONG) -> list[tuple[str, i
     return out
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = GROUP) -> DataFrame:
-    """One row for each row: page_id, url, text, n_chars, n_repeated (tokens that other pages of the host repeat)."""
+def _windows_of(pages: DataFrame, counted: bool, only_asking: bool) -> DataFrame:
+    """Each page's windows. Those of pages that the markup settles ask for repeats only if these are counted."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, windows, streams, asks = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for i, page in enumerate(batch.column(2).to_pylist()):
+            blocks = blocks_of(page or "")
+            ask = counted or not _settled(blocks)
+            if ask or not only_asking:
+                found, stream = _windows(blocks, LONG)
+                windows.append(np.unique(found))
+                n = len(windows[-1])
+                rows.append(np.full(n, i))
+                streams.append(np.full(n, stream, np.int64))
+                asks.append(np.full(n, ask))
+        at = pa.array(np.concatenate(rows))
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(windows).view(np.int64)), pa.array(np.concatenate(streams)), pa.array(np.concatenate(asks))],
+            ["host", "part", "window", "stream", "asks"],
+        )
+
+    return by_batch(pages.select("host", "part", "html"), step, "host string, part long, window long, stream long, asks boolean")
+
+
+def _shared(pages: DataFrame, counted: bool) -> DataFrame:
+    """host, part, window: the windows that different pages of a host have, for each part that asks for them."""
+    windows, asking = _windows_of(pages, counted, False), _windows_of(pages, counted, True)
+    if not counted:
+        asked = stored(asking.select("host", "window").distinct())
+        windows = windows.join(maybe_broadcast(asked), ["host", "window"], "left_semi")
+    repeats = stored(windows.groupBy("host", "window").agg(F.min("stream").alias("lo"), F.max("stream").alias("hi")).where("lo != hi").select("host", "window"))
+    return stored(asking.select("host", "part", "window").distinct().join(maybe_broadcast(repeats), ["host", "window"], "left_semi"))
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = GROUP, counted: bool = True) -> DataFrame:
+    """One row for each row: page_id, url, text, n_chars and, if counted, n_repeated (tokens that other pages of the host repeat)."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
     counts = stored(rows.groupBy("host").count())
     large = counts.where(F.col("count") > group).select("host", F.ceil(F.col("count") / group).alias("parts"))
     # as many tasks as the pages ask for, whatever the session's number of shuffle partitions
     tasks = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(counts.agg(F.sum("count")).first()[0] or 0) // TASK_PAGES))
     split = rows.join(maybe_broadcast(large), "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))))
+    shared = _shared(split.where(F.col("parts").isNotNull()), counted)
     kind = pages.schema[id_col].dataType.simpleString()
+    names = ["page_id", "url", "text", "n_chars", *(["n_repeated"] if counted else [])]
 
-    def one(t: pa.Table) -> pa.Table:
+    def one(t: pa.Table, elsewhere: pa.Table) -> pa.Table:
         order = np.lexsort(([x or "" for x in t["url"].to_pylist()], [str(x) for x in t["page_id"].to_pylist()]))
         t = t.take(pa.array(order))
-        found = texts_of(t["html"].to_pylist())
+        found = texts_of(t["html"].to_pylist(), elsewhere=elsewhere["window"].to_numpy().view(np.uint64))
         text = pa.array([x for x, _ in found], pa.string())
-        return pa.table({"page_id": t["page_id"], "url": t["url"], "text": text, "n_chars": pa.array([len(x) for x, _ in found], pa.int64()), "n_repeated": pa.array([n for _, n in found], pa.int64())})
+        out = pa.table({"page_id": t["page_id"], "url": t["url"], "text": text, "n_chars": pa.array([len(x) for x, _ in found], pa.int64()), "n_repeated": pa.array([n for _, n in found], pa.int64())})
+        return out.select(names)
 
-    return split.select("host", "part", "page_id", "url", "html").repartition(tasks, "host", "part").groupBy("host", "part").applyInArrow(one, f"page_id {kind}, url string, text string, n_chars long, n_repeated long")
+    schema = f"page_id {kind}, url string, text string, n_chars long" + (", n_repeated long" if counted else "")
+    dealt = [df.repartition(tasks, "host", "part").groupBy("host", "part") for df in (split.select("host", "part", "page_id", "url", "html"), shared)]
+    return dealt[0].cogroup(dealt[1]).applyInArrow(one, schema)

@@ -58,7 +58,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(table(spark, sf_dir, "pages")).drop("n_repeated")
+    return html_text.extract(table(spark, sf_dir, "pages"), counted=False)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

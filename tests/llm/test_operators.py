@@ -274,6 +274,24 @@ def test_html_text(spark):
     assert [list(map(int, x)) for x in inside] == [[0, 1, 1, 1], [0, 1, 1, 1, 0], [0]]
 
 
+def test_html_repeats_across_groups(spark):
+    """Passages that few of a host's pages share, in any of its groups, go as they do from one group."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    shared = [" ".join(word() for _ in range(12)) for _ in range(20)]
+    page = lambda i: f"<div>{shared[i // 2]}</div><p>{' '.join(word() for _ in range(15))}</p>"
+    pages = [page(i) for i in range(40)]
+    pages[1] = f"<article>{pages[1]}</article>"  # settled itself, it settles the other page's passage
+    rows = [(i, "http://a/", p) for i, p in enumerate(pages)] + [(90 + i, "http://a/", pages[2]) for i in range(3)] + [(99, "http://b/", pages[4]), (98, "http://a/", None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    names = ("page_id", "text", "n_chars", "n_repeated")
+    want = got(html_text.extract(df), *names)
+    assert got(html_text.extract(df, group=3), *names) == want
+    assert got(html_text.extract(df, group=3, counted=False), *names[:3]) == [r[:3] for r in want]
+    text = {r[0]: r[1] for r in want}
+    assert all(shared[i // 2] not in text[i] for i in range(40) if i != 1) and shared[0] in text[1] and shared[2] in text[99]
+
+
 def test_html_table(spark):
     import html
     import re
