@@ -2,11 +2,13 @@
 
 Features are the character bigrams and trigrams of letters, lower-cased one character at a time,
 with any other character read as one gap. Embeddings and softmax are trained by stochastic gradient
-descent in numpy on a bounded sample of labelled texts; a temperature and a rejection threshold are
-fitted on labelled texts that training leaves out. As the softmax is linear in the average,
-prediction sums one precomputed row of scores per feature.
+descent in numpy on a bounded sample of labelled texts. The softmax has one more class for texts of no
+learned language; its samples are made of the others, by shuffled letters and by random features. A temperature
+and a rejection threshold are fitted on labelled texts that training leaves out, and on such samples of
+them. As the softmax is linear in the average, prediction sums one precomputed row of scores per feature.
 
-Null text and text without letters is ``und`` with score 0 and is rejected.
+The score is the probability of the best language, so all languages may score low, even where only one
+is learned. Null text and text without letters is ``und`` with score 0 and is rejected.
 """
 
 from __future__ import annotations
@@ -24,10 +26,8 @@ BITS = 15
 DIM = 16
 #: Most labelled rows that are brought to the driver for training and calibration.
 SAMPLE_ROWS = 4000
-#: Share of rightly classified calibration texts that the threshold may reject.
-FALSE_REJECTIONS = 0.001
-#: Score above which nothing is rejected, whatever the calibration texts say.
-HIGHEST_THRESHOLD = 0.4
+#: Most letters or features of a made sample of no language.
+SALAD = 400
 
 _tables: list[np.ndarray] = []
 
@@ -72,8 +72,8 @@ class LangModel:
     threshold: float = 0.0
 
     def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of all languages, and the number of features, of each text."""
-        out, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), int)
+        """Scores of all languages, then of none of them, and the number of features, of each text."""
+        out, n = np.zeros((len(texts), len(self.bias))), np.zeros(len(texts), int)
         at = 0
         while at < len(texts):
             size, end = 0, at
@@ -82,7 +82,7 @@ class LangModel:
                 end += 1
             found, starts = features(texts[at:end])
             n[at:end] = np.diff(starts)
-            for k in range(len(self.langs)):
+            for k in range(len(self.bias)):
                 run = np.concatenate([[0.0], np.cumsum(self.table[k][found], dtype=np.float64)])
                 out[at:end, k] = run[starts[1:]] - run[starts[:-1]]
             at = end
@@ -94,7 +94,7 @@ class LangModel:
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         p = _softmax(logits / self.temperature)
-        best = p.argmax(1)
+        best = p[:, : len(self.langs)].argmax(1)
         score = np.where(n > 0, p[np.arange(len(texts)), best], 0.0)
         return [self.langs[b] if k else "und" for b, k in zip(best, n, strict=True)], score, (n == 0) | (score < self.threshold)
 
@@ -104,6 +104,19 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def _salad(text: str, rng: np.random.Generator) -> str:
+    """The letters of a text's start in random order, its gaps where they were."""
+    start = np.array(list(text[:SALAD]))
+    letters = np.flatnonzero([c.isalpha() for c in start])
+    start[letters] = start[rng.permutation(letters)]
+    return "".join(start)
+
+
+def _bag(found: np.ndarray, y: int) -> tuple[np.ndarray, np.ndarray, int]:
+    bucket, count = np.unique(found, return_counts=True)
+    return bucket, (count / len(found)).astype(np.float32), y
+
+
 def train(texts: list[str], langs: list[str], calibration: list[bool], epochs: int = 6, rate: float = 0.5, seed: int = 3) -> LangModel:
     """Fits on the texts not kept for calibration, then fits temperature and threshold on those kept. Texts without letters are passed over."""
     names = sorted(set(langs))
@@ -115,10 +128,11 @@ def train(texts: list[str], langs: list[str], calibration: list[bool], epochs: i
     for text, lang, held in zip(texts, langs, calibration, strict=True):
         found, _ = features([text])
         if len(found) and not held:
-            bucket, count = np.unique(found, return_counts=True)
-            rows.append((bucket, (count / len(found)).astype(np.float32), of[lang]))
+            rows.append(_bag(found, of[lang]))
+            made = features([_salad(text, rng)])[0] if len(rows) % 4 else rng.integers(0, 1 << BITS, min(len(found), SALAD))
+            rows.append(_bag(made if len(made) else found, len(names)))
     embed = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
-    soft, bias = np.zeros((len(names), DIM), np.float32), np.zeros(len(names), np.float32)
+    soft, bias = np.zeros((len(names) + 1, DIM), np.float32), np.zeros(len(names) + 1, np.float32)
     total = epochs * max(len(rows), 1)
     step = 0
     for _ in range(epochs):
@@ -142,17 +156,36 @@ def train(texts: list[str], langs: list[str], calibration: list[bool], epochs: i
 
 
 def _calibrate(model: LangModel, texts: list[str], truth: np.ndarray) -> None:
-    logits, n = model.logits(texts)
-    logits, truth = logits[n > 0], truth[n > 0]
-    if not len(truth):
+    rng = np.random.default_rng(5)
+    none = len(model.langs)
+    logits, n = model.logits(texts + [_salad(t, rng) for t in texts])
+    logits, truth = logits[n > 0], np.concatenate([truth, np.full(len(texts), none)])[n > 0]
+    own = truth != none
+    if not own.any():
         return
-    rows = np.arange(len(truth))
-    loss = lambda t: -np.log(np.maximum(_softmax(logits / t)[rows, truth], 1e-12)).mean()
+    # as in Platt's scaling, targets stop short of 1 by what so few texts can tell; scores do not all become 1
+    sure = 1 - 1 / (len(truth) + 2)
+    target = np.full(logits.shape, (1 - sure) / none)
+    target[np.arange(len(truth)), truth] = sure
+    loss = lambda t: -(target * np.log(np.maximum(_softmax(logits / t), 1e-300))).sum(1).mean()
     model.temperature = float(min(np.geomspace(0.02, 20, 61), key=loss))
-    p = _softmax(logits / model.temperature)
-    right = p.max(1)[p.argmax(1) == truth]
-    if len(right):
-        model.threshold = float(min(np.quantile(right, FALSE_REJECTIONS), HIGHEST_THRESHOLD))
+    p = _softmax(logits / model.temperature)[:, :none]
+    score = p.max(1)
+    right = score[own & (p.argmax(1) == truth)]
+    if len(right) and not own.all():
+        model.threshold = max(_cut(right, score[~own]), 0.5)  # below, no language is more likely than not
+
+
+def _cut(right: np.ndarray, none: np.ndarray) -> float:
+    """Where the shares of texts rejected wrongly and accepted wrongly add up to least, but for two texts that may be odd; the middle, in log-odds, of the widest such gap."""
+    both = np.clip(np.concatenate([right, none]), 1e-12, 1 - 1e-12)
+    ends = np.unique(np.log(both) - np.log1p(-both))
+    at = np.concatenate([ends[:1] - 1, (ends[1:] + ends[:-1]) / 2])
+    wide = np.concatenate([[0.0], np.diff(ends)])
+    cuts = 1 / (1 + np.exp(-at))
+    wrong = np.searchsorted(np.sort(right), cuts) / len(right) + 1 - np.searchsorted(np.sort(none), cuts) / len(none)
+    best = np.flatnonzero(wrong <= wrong.min() + 2 / min(len(right), len(none)))
+    return float(cuts[best[wide[best].argmax()]])
 
 
 def remainder(id_col: Column) -> Column:

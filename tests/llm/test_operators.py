@@ -260,6 +260,17 @@ def test_language_id(spark):
     assert langid.identify(odd, langid.fit(docs.limit(0))).where("lang_pred = 'und'").count() == 6
 
 
+@pytest.mark.parametrize("learned", [("de", "en", "es"), ("en", "fr"), ("en",)])
+def test_unlearned_languages_are_rejected(learned):
+    rows = [(t, lang) for t, lang in sorted(set(zip(*(pq.read_table("/root/testdata/sf0.01/documents.parquet")[c].to_pylist() for c in ("text", "lang")))) - {(None, None)}, key=repr) if t and lang]
+    fit, rest = [r for i, r in enumerate(rows) if i % 4 and r[1] in learned], [r for i, r in enumerate(rows) if not i % 4 or r[1] not in learned]
+    model = langid.train([t for t, _ in fit], [x for _, x in fit], [i % 10 == 9 for i in range(len(fit))])
+    own, other = ([t for t, x in rest if (x in learned) == which] for which in (True, False))
+    assert len(other) > 50 and model.predict(other)[2].mean() > 0.9
+    assert len(own) > 50 and model.predict(own)[2].mean() < 0.03
+    assert model.predict(["xqzv kjwp qwrt zxcv bnmk lkjh gfds poiu ytrw", "Правительство объявило вчера о новой реформе"])[2].all()
+
+
 def test_html_text(spark):
     page = '<html><head><title>t</title><script>var x="</p>";</script></head><body><nav><ul><li>Menu</li></ul></nav><div class="ad"><div>buy</div> now</div><article><h1>Head &amp; more</h1><p><b>One  two<br>three<p>four &eacute;<aside>side</aside><div id="comments"><p>first!</p></div></article><footer>foot</footer>'
     open_pages = [f"<div>Welcome to the site of all sites in town</div><p>own words {i} of this page</p>" for i in range(3)]
