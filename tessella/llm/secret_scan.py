@@ -1,9 +1,10 @@
 """Secret scans: patterns, and character Markov models compared by log-likelihood ratio.
 
 Two second-order character models are trained from labelled samples: random strings (keys, digests,
-tokens) and ordinary identifiers (words, joined words, paths, addresses). A run of key characters
-that the patterns leave is reported where the mean log-likelihood ratio of its characters exceeds
-a threshold fitted on held-out samples.
+tokens) and ordinary identifiers (words, joined words, paths, addresses). A run of key characters, or
+what the patterns leave of it, is reported where the mean log-likelihood ratio of its characters exceeds
+a threshold fitted on held-out samples; if it does not as a whole, its parts between / = - _ are judged,
+neighbouring random ones together.
 
 Spans count code points, end exclusive. Null text counts as empty and has no spans. Spans of the
 patterns may overlap each other; those of the models (kind ``random``) overlap none of them.
@@ -12,6 +13,7 @@ patterns may overlap each other; those of the models (kind ``random``) overlap n
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 from dataclasses import dataclass
@@ -33,6 +35,7 @@ PATTERNS = {
 #: Least length of a run that the models judge.
 LEAST_RANDOM = 20
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RANDOM)
+_PART = re.compile(r"[A-Za-z0-9+]+")
 #: What RE2 finds in any text that has a span of any kind.
 _ANY = {
     "assign": r"(?i)(password|passwd|secret|token|api_?key)",
@@ -83,9 +86,9 @@ class MarkovPair:
         return float(self.ratio[codes[:-2], codes[1:-1], codes[2:]].mean()) if run else -np.inf
 
     def is_random(self, run: str) -> bool:
-        """Random by the models, and not of letters of one case or digits alone, as names and numbers are."""
-        kinds = (any(c.isdigit() for c in run)) + any("a" <= c <= "z" for c in run) + any("A" <= c <= "Z" for c in run)
-        return kinds > 1 and any(c.isdigit() for c in run) and self.score(run) > self.threshold
+        """Random by the models, and not of digits or of letters of one case alone, as numbers and words (a capital first) are."""
+        kinds = any(c.isdigit() for c in run) + any("a" <= c <= "z" for c in run) + any("A" <= c <= "Z" for c in run)
+        return kinds > 1 and not (run.isalpha() and run[1:].islower()) and self.score(run) > self.threshold
 
 
 def _log_model(texts: list[str]) -> np.ndarray:
@@ -118,11 +121,50 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, kind) for a, _, b, kind in sorted(out)]
 
 
+def _left(start: int, end: int, base: list[tuple[int, int, str]], first: int) -> list[tuple[int, int]]:
+    """What spans, sorted by start and from the first that may reach it, leave of a run."""
+    out, at = [], start
+    for a, b, _ in itertools.islice(base, first, None):
+        if a >= end:
+            break
+        if b > at:
+            out.append((at, max(a, at)))
+            at = b
+    out.append((min(at, end), end))
+    return [(a, b) for a, b in out if b - a >= LEAST_RANDOM]
+
+
+def _random_parts(text: str, start: int, end: int, pair: MarkovPair) -> list[tuple[int, int]]:
+    """The stretch as a whole if that is random; else its random parts, neighbours as one where that is random too."""
+    if pair.is_random(text[start:end]):
+        return [(start, end)]
+    out: list[tuple[int, int]] = []
+    near: list[tuple[int, int]] = []
+
+    def close() -> None:
+        if near and near[-1][1] - near[0][0] >= LEAST_RANDOM and pair.is_random(text[near[0][0] : near[-1][1]]):
+            out.append((near[0][0], near[-1][1]))
+        else:
+            out.extend((a, b) for a, b in near if b - a >= LEAST_RANDOM and pair.is_random(text[a:b]))
+        near.clear()
+
+    for m in _PART.finditer(text, start, end):
+        if pair.score(m.group()) > pair.threshold:
+            near.append(m.span())
+        else:
+            close()
+    close()
+    return out
+
+
 def random_spans(text: str, base: list[tuple[int, int, str]], pair: MarkovPair) -> list[tuple[int, int, str]]:
-    out = []
+    out, first = [], 0
+    reach = np.maximum.accumulate([b for _, b, _ in base]) if base else ()
     for m in _RUN.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b, _ in base) and pair.is_random(m.group()):
-            out.append((m.start(), m.end(), "random"))
+        while first < len(base) and reach[first] <= m.start():
+            first += 1
+        for a, b in _left(m.start(), m.end(), base, first):
+            out += [(x, y, "random") for x, y in _random_parts(text, a, b, pair)]
     return out
 
 
