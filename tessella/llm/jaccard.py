@@ -318,11 +318,11 @@ def _star(postings: DataFrame, key: str, sizes) -> DataFrame:
     return met.select(F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b")).distinct()
 
 
-def _class_sizes(most: int) -> list[int]:
-    """Least sizes of the classes of sets: each is a quarter larger than the one before."""
+def _class_sizes(most: int, percent: int) -> list[int]:
+    """Least sizes of the classes of sets: each is by as much larger than the one before as sets that link may be."""
     out = [1]
     while out[-1] <= most:
-        out.append(max(out[-1] + 1, -(-5 * out[-1] // 4)))
+        out.append(max(out[-1] + 1, -(-100 * out[-1] // percent)))
     return out
 
 
@@ -330,14 +330,14 @@ def parts(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Keys of a set's parts. Two sets that link have a key in common.
 
     Sets that link differ in few tokens, so of more parts than that, dealt by hash, one is equal in both. The number
-    of parts goes by class of size, and a set has keys for its own class and the next, which covers sizes up to a quarter
-    apart. Empty parts have keys only in sets of so few parts with tokens that all of those might differ.
+    of parts goes by class of size, and a set has keys for its own class and the next, which covers the sizes of sets
+    that link. Empty parts have keys only in sets of so few parts with tokens that all of those might differ.
     """
     n = len(tokens)
-    least = _class_sizes(n)
+    least = _class_sizes(n, percent)
     own = int(np.searchsorted(least, n, side="right")) - 1
     grown = -(-100 * least[-1] // percent)
-    least = [*least, *(x for x in _class_sizes(2 * grown) if x > least[-1])]
+    least = [*least, *(x for x in _class_sizes(2 * grown, percent) if x > least[-1])]
     out = []
     scrambled = mix(tokens + np.uint64(31))
     for size_class in (own, own + 1):

@@ -347,3 +347,12 @@ def test_linked_sets_share_a_part_and_pass_by_sketches():
                 x, y = np.unique(a), np.unique(b)
                 assert jaccard.may_link(jaccard.fine_sketch(jaccard.mix(x)), jaccard.fine_sketch(jaccard.mix(y)), len(x), len(y))
                 assert np.isin(jaccard.parts(np.unique(a)), jaccard.parts(np.unique(b))).any()
+
+
+@pytest.mark.parametrize("percent", [50, 70, 80, 90])
+def test_sets_of_any_percent_share_a_part(percent):
+    tokens = np.random.default_rng(2).integers(0, 1 << 62, 400).astype(np.uint64)
+    for n in range(1, 200):
+        m = 100 * n // percent
+        a, b = np.unique(tokens[:n]), np.unique(tokens[:m])
+        assert np.isin(jaccard.parts(a, percent), jaccard.parts(b, percent)).any()
