@@ -9,6 +9,7 @@ from __future__ import annotations
 import argparse
 import sys
 import time
+from collections.abc import Iterable, Iterator
 from statistics import median
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,9 +73,8 @@ def main(args: list[str], spark: SparkSession | None = None, out=sys.stdout) ->
                 name, _, path = pair.partition("=")
                 _loaded(engine, name, path)
             _loaded(engine, "t", a.source)
-            for sql in [a.sql] if a.sql else sys.stdin:
-                if sql.strip():
-                    _answer(engine, sql, a, out)
+            for sql in [a.sql] if a.sql else _statements(sys.stdin):
+                _answer(engine, sql, a, out)
         elif a.command == "materialize":
             _loaded(engine, "t", a.source)
             print(f"{engine.materialize('result', a.sql, 't', persist=a.target)['rows']} rows", file=out)
@@ -88,6 +88,19 @@ def main(args: list[str], spark: SparkSession | None = None, out=sys.stdout) ->
     return 0
 
 
+def _statements(lines: Iterable[str]) -> Iterator[str]:
+    """Statements of one line or several, each up to a line that ends with a semicolon, an empty line, or the end."""
+    now: list[str] = []
+    for line in lines:
+        if line.strip():
+            now.append(line)
+        if now and (not line.strip() or line.rstrip().endswith(";")):
+            yield "".join(now)
+            now = []
+    if now:
+        yield "".join(now)
+
+
 def _answer(engine: Engine, sql: str, a: argparse.Namespace, out) -> None:
     try:
         _show(engine.query(sql, "t"), a.rows, out)

@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .functions.library import LIBRARY
 from .functions.user import LibraryFunction, UserFunction
 from .operators import batch
-from .operators.describe import describe
+from .operators.describe import describe, files, is_clustered
 from .plans.binder import Binder
 from .plans.diagnostics import SqlError, suggestion
 from .plans.relation import Relation
-from .plans.syntax import parse
+from .plans.syntax import Column, Literal, Query, parse
 from .sources.csv import read_csv
 from .sources.parquet import read_parquet
 
@@ -99,19 +99,27 @@ class Engine:
         self._functions: dict[str, UserFunction | LibraryFunction] = {n: LibraryFunction(f) for n, f in LIBRARY.items()} if library else {}
         self._derived = Derived(cache_bytes)
         self._unique: dict[str, bool] = {}
+        self._sorted: dict[str, list[str]] = {}
+        self._read: set[str] = set()
 
     # tables
 
     def load(self, name: str, df: DataFrame) -> DataFrame:
-        """Registers a frame; a name that is taken is replaced."""
+        """Registers a frame; a name that is taken is replaced, and what was derived from any table is worked out anew."""
+        if name in self._tables:
+            self._derived.clear()
         self._loads += 1
         self._tables[name] = Relation.of(df, f"{name}#{self._loads}")
+        self._sorted.pop(name, None)
+        self._read.discard(name)
         self._frames[name] = df
         self._last = name
         return df
 
     def load_parquet(self, name: str, path: str) -> DataFrame:
-        return self.load(name, read_parquet(self.spark, path))
+        df = self.load(name, read_parquet(self.spark, path))
+        self._read.add(name)
+        return df
 
     def load_csv(self, name: str, path: str | list[str], persist: str | None = None, multiline: bool = True) -> DataFrame:
         """CSV with sniffed types; persist writes it as Parquet first, and loads that."""
@@ -136,9 +144,13 @@ class Engine:
             df = df.persist(StorageLevel.MEMORY_AND_DISK)
         rows = df.count()
         self.load(name, df)
+        if persist:
+            self._read.add(name)
+        self._sorted[name] = _sort_keys(parse(sql), df.columns)
         return {"rows": rows, "elapsed_ms": (time.monotonic() - began) * 1000}
 
     def remove(self, name: str) -> None:
+        self._derived.clear()
         self._tables.pop(name, None)
         if frame := self._frames.pop(name, None):
             frame.unpersist()
@@ -153,8 +165,13 @@ class Engine:
             raise KeyError(f"no table '{name}' is loaded")
         return self._frames[name]
 
-    def describe(self, table: str | None = None, distinct: bool = False) -> dict[str, Any]:
-        return describe(self.frame(table), distinct)
+    def describe(self, table: str | None = None, distinct: bool = False, clustered: bool = False) -> dict[str, Any]:
+        """What describe() tells, the columns that a materialized table is sorted by, files and bytes of one that is read from files, and, if asked for, the columns whose values are each one run of rows."""
+        name, df = table or self._last, self.frame(table)
+        found = describe(df, distinct) | {"sorted_by": self._sorted.get(name, [])}
+        if name in self._read:
+            found |= files(df)
+        return found | ({"clustered": [c for c in df.columns if is_clustered(df, c)]} if clustered else {})
 
     def warm(self, columns: Sequence[str], table: str | None = None) -> int:
         """Reads some columns into Spark's storage; gives the number of rows."""
@@ -183,7 +200,16 @@ class Engine:
         """A frame for a statement, or a list for several, of which those of like shape share a scan."""
         if isinstance(sql, str):
             return self._relation(sql, table).output()
-        return self._batch(list(sql), table)
+        found = self.query_each(sql, table)
+        for i, one in enumerate(found):
+            if isinstance(one, SqlError):
+                one.message = f"statement {i + 1}: {one.message}"
+                raise one
+        return found
+
+    def query_each(self, statements: Sequence[str], table: str | None = None) -> list[DataFrame | SqlError]:
+        """As query() for several statements, with its error in the place of a statement that cannot be run."""
+        return self._batch(list(statements), table)
 
     def _relation(self, sql: str, table: str | None) -> Relation:
         try:
@@ -194,10 +220,10 @@ class Engine:
     def _binder(self, table: str | None) -> Binder:
         if table is not None and table not in self._tables:
             near = suggestion(table, self._tables)
-            raise KeyError(f"no table '{table}' is loaded" + (f"; did you mean '{near}'?" if near else ""))
+            raise KeyError(f"no table '{table}' is loaded" + (f"; closest: {near}" if near else ""))
         return Binder(_View(self, table or self._last))
 
-    def _batch(self, statements: list[str], table: str | None) -> list[DataFrame]:
+    def _batch(self, statements: list[str], table: str | None) -> list[DataFrame | SqlError]:
         binder = self._binder(table)
         plans: dict[int, batch.Plan] = {}
         base = self._tables.get(table or self._last or "")
@@ -211,7 +237,7 @@ class Engine:
                         plans[i] = plan
             except (SqlError, TypeError, ValueError):
                 continue  # told below, with the statement's number
-        out: dict[int, DataFrame] = {}
+        out: dict[int, DataFrame | SqlError] = {}
         if len(plans) > 1:
             out = {i: r.output() for i, r in zip(plans, batch.run(binder, list(plans.values())), strict=True)}
         for i, sql in enumerate(statements):
@@ -219,8 +245,7 @@ class Engine:
                 try:
                     out[i] = self._relation(sql, table).output()
                 except SqlError as e:
-                    e.message = f"statement {i + 1}: {e.message}"
-                    raise
+                    out[i] = e
         return [out[i] for i in range(len(statements))]
 
     # results
@@ -260,6 +285,21 @@ class Engine:
             self.remove(name)
 
 
+def _sort_keys(query: Query, columns: list[str]) -> list[str]:
+    """The output columns that a statement's rows are in ascending order of, first things first."""
+    names = [Binder.name_of(item, i) for i, item in enumerate(query.items)]
+    out = []
+    for o in query.order_by:
+        if isinstance(o.expr, Literal) and isinstance(o.expr.value, int) and o.expr.value <= len(names):
+            name = names[o.expr.value - 1]
+        else:
+            name = next((n for n, item in zip(names, query.items, strict=True) if o.expr == item.expr or isinstance(o.expr, Column) and o.expr.name == n), None)
+        if o.descending or name not in columns:
+            break
+        out.append(name)
+    return out
+
+
 class _View:
     """The engine's tables and functions as one statement sees them."""
 

@@ -1,14 +1,17 @@
 """Ready-made functions beyond the built-in ones: patterns, JSON, zones, dates, addresses, distances.
 
-JVM expressions but for ``unaccent`` and ``format_number``'s other locales, which run over Arrow batches.
+JVM expressions but for ``unaccent``, which runs over Arrow batches. Names of countries and marks of numbers are the JVM's.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .kinds import Kind, Typed
@@ -86,51 +89,92 @@ def quarter(d: Typed) -> Typed:
     return Typed(F.quarter(d.col).cast("long"), Kind.INT)
 
 
-#: English names of some ISO 3166 alpha-2 codes; others come back as they are. Fixed values.
-COUNTRIES = dict(
-    x.split(":")
-    for x in (
-        "AE:United Arab Emirates|AR:Argentina|AT:Austria|AU:Australia|BD:Bangladesh|BE:Belgium|BG:Bulgaria|BR:Brazil|CA:Canada|CH:Switzerland|CL:Chile|CN:China|CO:Colombia|CZ:Czechia|DE:Germany|DK:Denmark|DZ:Algeria|EC:Ecuador|EE:Estonia|EG:Egypt|ES:Spain|ET:Ethiopia|FI:Finland|FR:France|GB:United Kingdom|GH:Ghana|GR:Greece|HK:Hong Kong|HR:Croatia|HU:Hungary|ID:Indonesia|IE:Ireland|IL:Israel|IN:India|IQ:Iraq|IR:Iran|IS:Iceland|IT:Italy|JO:Jordan|JP:Japan|KE:Kenya|KR:South Korea|KW:Kuwait|KZ:Kazakhstan|LK:Sri Lanka|LT:Lithuania|LU:Luxembourg|LV:Latvia|MA:Morocco|MX:Mexico|MY:Malaysia|MZ:Mozambique|NG:Nigeria|NL:Netherlands|NO:Norway|NZ:New Zealand|PE:Peru|PH:Philippines|PK:Pakistan|PL:Poland|PT:Portugal|QA:Qatar|RO:Romania|RS:Serbia|RU:Russia|SA:Saudi Arabia|SE:Sweden|SG:Singapore|SI:Slovenia|SK:Slovakia|TH:Thailand|TN:Tunisia|TR:Türkiye|TW:Taiwan|TZ:Tanzania|UA:Ukraine|UG:Uganda|US:United States|UY:Uruguay|UZ:Uzbekistan|VE:Venezuela|VN:Vietnam|ZA:South Africa|ZM:Zambia|ZW:Zimbabwe"
-    ).split("|")
-)
+def _jvm():
+    return SparkSession.active().sparkContext._jvm
+
+
+@lru_cache(maxsize=64)
+def _countries(locale: str) -> dict[str, str]:
+    """Names of all ISO 3166 alpha-2 codes, as the JVM's locale data has them."""
+    java = _jvm().java.util.Locale
+    shown = java.forLanguageTag(locale)
+    return {str(code): str(java("", code).getDisplayCountry(shown)) for code in java.getISOCountries()}
 
 
 def country_name(code: Typed, locale: Typed | None = None) -> Typed:
-    """The English name; other locales are not bundled and get it too."""
-    names = F.create_map(*(F.lit(x) for pair in COUNTRIES.items() for x in pair))
+    """The name in a locale (en unless given) of an ISO 3166 alpha-2 code in either case. Two letters that are no code come back as capitals; NULL for anything else."""
+    names = _countries(str(locale.value) if locale is not None and locale.value is not None else "en")
+    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
     key = F.upper(code.to(Kind.TEXT))
-    return Typed(F.coalesce(F.try_element_at(names, key), code.to(Kind.TEXT)), Kind.TEXT)
+    return Typed(F.when(F.regexp_like(key, F.lit("^[A-Z]{2}$")), F.coalesce(F.try_element_at(table, key), key)), Kind.TEXT)
+
 
+@dataclass(frozen=True)
+class _Numbers:
+    """How a locale writes numbers: its marks, and for compact ones (least, divisor, text before, text after)."""
 
-#: Group and decimal marks of some locales; fixed values.
-_MARKS = {"en": (",", "."), "de": (".", ","), "es": (".", ","), "it": (".", ","), "fr": (" ", ","), "de-CH": ("’", ".")}
+    group: str
+    point: str
+    minus: str
+    compact: tuple[tuple[float, float, str, str], ...]
+
+
+@lru_cache(maxsize=64)
+def _numbers(locale: str) -> _Numbers:
+    java = _jvm().java
+    shown = java.util.Locale.forLanguageTag(locale)
+    symbols = java.text.DecimalFormatSymbols.getInstance(shown)
+    short = java.text.NumberFormat.getCompactNumberInstance(shown, java.text.NumberFormat.Style.SHORT)
+    compact = []
+    for power in range(3, 15):
+        before, digits, after = re.fullmatch(r"(\D*)(\d+)(.*)", str(short.format(float(10**power))), re.S).groups()
+        if len(digits) <= 3:  # else the locale has no short form of this size
+            compact.append((float(10**power), 10**power / int(digits), before, after))
+    return _Numbers(str(symbols.getGroupingSeparator()), str(symbols.getDecimalSeparator()), str(symbols.getMinusSign()), tuple(compact))
 
 
 def format_number(x: Typed, spec: Typed | None = None) -> Typed:
-    """By a locale (en-US unless given), grouped; ``:compact`` shortens to K, M, B, T with one decimal, other digits after the colon set decimals."""
+    """By a locale (en-US unless given): digits in groups of three, one decimal at most, half away from zero. ``:compact`` after the locale shortens as it does (1.2M)."""
     text = str(spec.value) if spec is not None and spec.value is not None else "en-US"
     locale, _, how = text.partition(":")
-    group, point = _MARKS.get(locale) or _MARKS.get(locale.split("-")[0], _MARKS["en"])
+    if how not in ("", "compact"):
+        raise ValueError(f"a number's style is compact or none, not '{how}'")
+    marks = _numbers(locale)
     v = x.to(Kind.FLOAT)
 
-    def shown(y: Column, digits: int) -> Column:
-        fixed = F.format_number(F.round(y, digits), digits)
-        short = F.regexp_replace(fixed, r"\.0+$|(\.[0-9]*[1-9])0+$", "$1") if digits else fixed
-        return F.translate(short, ",.", group + point)
+    def shown(y: Column) -> Column:
+        fixed = F.regexp_replace(F.format_number(F.round(y, 1), 1), r"\.0$", "")
+        return F.translate(fixed, ",.-", marks.group + marks.point + marks.minus)
+
+    if not how:
+        return Typed(shown(v), Kind.TEXT)
+    out = None
+    # a number that rounds up to a size has that size
+    for least, divisor, before, after in reversed(marks.compact):
+        lower = max((d for k, d, *_ in marks.compact if k < least), default=1.0)
+        part = F.concat(F.lit(before), shown(v / divisor), F.lit(after))
+        fits = F.round(F.abs(v) / lower, 1) >= least / lower
+        out = F.when(fits, part) if out is None else out.when(fits, part)
+    return Typed(out.otherwise(shown(v)) if out is not None else shown(v), Kind.TEXT)
 
-    if how == "compact":
-        out = None
-        for limit, mark in ((1e12, "T"), (1e9, "B"), (1e6, "M"), (1e3, "K")):
-            part = F.concat(shown(v / limit, 1), F.lit(mark))
-            out = F.when(F.abs(v) >= limit, part) if out is None else out.when(F.abs(v) >= limit, part)
-        return Typed(out.otherwise(shown(v, 1)), Kind.TEXT)
-    return Typed(shown(v, int(how) if how.isdigit() else 3), Kind.TEXT)
+
+class _Unmarked(dict):
+    """For each letter itself, for each combining mark nothing; filled as letters come."""
+
+    def __missing__(self, code: int) -> int | None:
+        self[code] = None if unicodedata.category(chr(code)).startswith("M") else code
+        return self[code]
+
+
+_UNMARKED = _Unmarked()
 
 
 def unaccent(s: Typed) -> Typed:
+    """Letters apart from their marks (NFD), then without any combining mark, of whatever script."""
+
     @F.pandas_udf("string")
     def stripped(x: pd.Series) -> pd.Series:
-        return x.str.normalize("NFD").str.replace("[̀-ͯ]", "", regex=True)
+        return x.map(lambda t: unicodedata.normalize("NFD", t).translate(_UNMARKED), na_action="ignore")
 
     return Typed(stripped(s.to(Kind.TEXT)), Kind.TEXT)
 

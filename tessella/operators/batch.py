@@ -111,7 +111,11 @@ def run(binder: Binder, plans: list[Plan]) -> list[Relation]:
         for name in sorted(names):
             c = F.col(f"v_{k}_{i}")
             asked.append((F.try_sum(c) if name == "sum" and k != "float" else builders[name](c)).alias(f"{name}_{k}_{i}"))
-    table = each.groupBy("s", "k_text", "k_int", "k_date").agg(*asked).persist()
+    table = each.groupBy("s", "k_text", "k_int", "k_date").agg(*asked)
+    # kept, as several results read it, for as long as the catalog keeps what statements share
+    key = f"(batch {[p.query for p in plans]!r} over {source.key})"
+    for _ in range(2):
+        table = binder.catalog.derived(key, lambda: Relation(table, (), key)).df
     return [_result(binder, p, place, table, number) for number, (p, place) in enumerate(zip(plans, places, strict=True))]
 
 

@@ -29,22 +29,28 @@ def _member(column: Column, selected: Sequence[Any]) -> Column:
 
 
 def _one_pass(df: DataFrame, dims: Sequence[str], selected: Mapping[str, Sequence[Any]], measure: str | None) -> DataFrame:
-    """(dimension, value, count, total): one scan, one aggregation with partial sums. Totals stand under a null dimension."""
+    """(dimension, value, count, total): one scan. Totals stand under a null dimension.
+
+    Rows are first summed up by the combination of their dimensions' values, on which alone it depends where a row counts, with partial
+    sums before the shuffle. What is then dealt to the dimensions are combinations, which are few where dimensions are made for faceting.
+    """
     passes = {d: _member(F.col(d), selected.get(d, ())) for d in dims}
     fails = sum((F.when(p, 0).otherwise(1) for p in passes.values()), F.lit(0))
     amount = (F.col(measure) if measure else F.lit(None)).cast("double")
     text = lambda c: c.cast("string")
     slim = df.select(*(text(F.col(d)).alias(f"v{i}") for i, d in enumerate(dims)), *(p.alias(f"p{i}") for i, p in enumerate(passes.values())), fails.alias("fails"), amount.alias("amount"))
     slim = slim.where("fails <= 1")  # a row that fails two filters counts nowhere
+    combination = [f"{k}{i}" for k in "vp" for i in range(len(dims))]
+    slim = slim.groupBy(*combination, "fails").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
     none = F.lit(None).cast("string")
     # a row that passes all counts in every dimension and in the totals; one that fails one counts there only
     stands = [
-        F.when((F.col("fails") == 0) | ~F.col(f"p{i}"), F.struct(F.lit(d).alias("dimension"), F.col(f"v{i}").alias("value"), F.lit(None).cast("double").alias("amount")))
+        F.when((F.col("fails") == 0) | ~F.col(f"p{i}"), F.struct(F.lit(d).alias("dimension"), F.col(f"v{i}").alias("value"), F.col("n").alias("n"), F.lit(None).cast("double").alias("amount")))
         for i, d in enumerate(dims)
     ]
-    stands.append(F.when(F.col("fails") == 0, F.struct(none.alias("dimension"), none.alias("value"), F.col("amount").alias("amount"))))
+    stands.append(F.when(F.col("fails") == 0, F.struct(none.alias("dimension"), none.alias("value"), F.col("n").alias("n"), F.col("amount").alias("amount"))))
     each = slim.select(F.explode(F.filter(F.array(*stands), lambda s: s.isNotNull())).alias("s")).select("s.*")
-    return each.groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("count"), F.sum("amount").alias("total"))
+    return each.groupBy("dimension", "value").agg(F.sum("n").alias("count"), F.sum("amount").alias("total"))
 
 
 def facet_refresh(df: DataFrame, dims: Sequence[str], selected: Mapping[str, Sequence[Any]] | None = None, measure: str | None = None) -> Facets:

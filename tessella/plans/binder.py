@@ -19,7 +19,7 @@ from ..functions import scalar as S
 from ..functions.kinds import Kind, Typed, common, literal
 from ..functions.registry import AGGREGATES, FUNCTIONS, INTERNAL
 from . import syntax as X
-from .diagnostics import Span, SqlError, suggestion
+from .diagnostics import Span, SqlError, nearest, suggestion
 from .relation import Field, Relation, fresh
 
 
@@ -108,7 +108,7 @@ class Binder:
         found = env.get(source.name) or self.catalog.table(source.name) or (None if joined else self.catalog.base())
         if found is None:
             near = suggestion(source.name, env)
-            raise SqlError(f"unknown table '{source.name}'", source.span, f"did you mean '{near}'?" if near else None)
+            raise SqlError(f"there is no table {source.name}", source.span, nearest(near))
         return found.named(source.alias or source.name)
 
     # joins
@@ -117,7 +117,7 @@ class Binder:
         right = self.source(join.source, env, joined=True)
         alias = join.source.alias or join.source.name
         if alias in left.tables():
-            raise SqlError(f"the name '{alias}' is already used in this query", join.source.span, "give the table an alias of its own")
+            raise SqlError(f"two tables here go by the name {alias}", join.source.span, "AS gives one of them another name")
         pairs = []
         for name in join.using:
             sides = [r.find(name) for r in (left, right)]
@@ -135,11 +135,11 @@ class Binder:
         for x, y in pairs:
             kinds = {x.kind, y.kind}
             if kinds & {Kind.FLOAT, Kind.BOOL} or len(kinds) > 1 and not kinds <= {Kind.INT}:
-                raise SqlError(f"cannot join '{x.name}' ({x.kind.value}) with '{y.name}' ({y.kind.value})", join.span, "join keys are both whole numbers, texts, dates or timestamps")
+                raise SqlError(f"{x.name} is {x.kind.value} and {y.name} is {y.kind.value}, which do not make a key", join.span, "both sides of a key are whole numbers, texts, dates or timestamps")
         keys = [y for _, y in pairs]
         name = f"{right.key} by {sorted(k.own for k in keys)}"
         if not self.catalog.unique(name, lambda: is_unique(right.df, [k.inner for k in keys])):
-            raise SqlError(f"the key of '{alias}' is not unique: {', '.join(k.name for k in keys)}", join.span, "a joined table has at most one row for each key; group it first")
+            raise SqlError(f"{alias} has several rows of one key ({', '.join(k.name for k in keys)})", join.span, "a table is joined by a key that no two of its rows share; GROUP BY makes such a table")
         condition = None
         for x, y in pairs:
             equal = F.col(x.inner) == F.col(y.inner)
@@ -175,7 +175,7 @@ class Binder:
                     relation, flags[node] = (self.flag_in if isinstance(node, X.InQuery) else self.flag_exists)(relation, node, env, flags)
             bound = self.expr(part, Scope(relation, flags, where=True))
             if bound.kind not in (Kind.BOOL, Kind.NULL):
-                raise SqlError(f"WHERE needs a boolean condition, this is {bound.kind.value}", part.span, "compare it with something")
+                raise SqlError(f"WHERE takes conditions, and this is {bound.kind.value}", part.span, "a comparison makes a condition of it")
             relation = replace(relation, df=relation.df.where(bound.to(Kind.BOOL)))
         return relation, flags
 
@@ -184,13 +184,13 @@ class Binder:
         found = self.derive(node.query, env).named("")
         inner = found.visible()
         if len(inner) != len(node.keys):
-            raise SqlError(f"the subquery has {len(inner)} column(s), but {len(node.keys)} are compared", node.span)
+            raise SqlError(f"{len(node.keys)} before IN cannot be looked up in {len(inner)} columns", node.span)
         outer, columns, names = [], [], []
         for key, field in zip(node.keys, inner, strict=True):
             bound = self.expr(key, Scope(relation, flags, where=True))
             kind = common([bound.kind, field.kind])
             if kind is None:
-                raise SqlError(f"cannot compare {bound.kind.value} with the subquery's {field.kind.value}", key.span)
+                raise SqlError(f"this is {bound.kind.value}, and the query gives {field.kind.value}", key.span)
             kind = Kind.INT if kind is Kind.NULL else kind
             outer.append(bound.to(kind))
             names.append(fresh())
@@ -202,20 +202,44 @@ class Binder:
         equal = _all([o == F.col(n) for o, n in zip(outer, names, strict=True)])
         if not negated:
             return replace(relation, df=relation.df.join(keys, equal, "left_semi"))
-        # rows without NULLs meet by equality; pairs with a NULL on either side may be equal, and those rows are few or end here
+        # rows without NULLs meet by equality; a pair with a NULL on either side may be equal
         gaps = _any([F.col(n).isNull() for n in names])
         open_ = _any([o.isNull() for o in outer])
-        maybe = _all([F.coalesce(o == F.col(n), F.lit(True)) for o, n in zip(outer, names, strict=True)])
         df = relation.df.join(keys, equal, "left_anti")
         if len(names) == 1:
             totals = keys.agg(F.count(F.lit(1)).alias(n := fresh()), F.count(F.when(gaps, 1)).alias(g := fresh()))
             df = df.crossJoin(F.broadcast(totals)).where((F.col(n) == 0) | (~open_ & (F.col(g) == 0))).drop(n, g)
         else:
-            if keys.where(gaps).limit(1).count():
-                df = df.join(keys.where(gaps), maybe, "left_anti")
-            df = df.where(~open_).unionByName(df.where(open_).join(keys, maybe, "left_anti"))
+            df = self.without_maybe(df, keys, outer, names)
         return replace(relation, df=df)
 
+    @staticmethod
+    def without_maybe(df: DataFrame, keys: DataFrame, outer: list[SparkColumn], names: list[str]) -> DataFrame:
+        """The rows whose values of several columns, some of them NULL, equal no key for certain or maybe.
+
+        A row and a key may be equal if they are in the columns where both have values. So for each set of columns that keys have values
+        in, rows go by equality of those of them that they have values in: one anti join for each choice, none of them a nested loop.
+        """
+        asked, has = [fresh() for _ in names], fresh()
+        df = df.withColumns(dict(zip(asked, outer, strict=True)))
+        pattern = lambda columns: F.concat(*(F.when(F.col(c).isNull(), "0").otherwise("1") for c in columns))
+        there = [r[0] for r in keys.select(pattern(names).alias(has)).distinct().collect()]  # 2 to the number of columns at most
+        for one in sorted(there):
+            for mask in range(1 << len(names)):
+                mine = f"{mask:0{len(names)}b}"
+                if one == mine == "1" * len(names):
+                    continue  # equal for certain, and gone already
+                both = [i for i in range(len(names)) if one[i] == mine[i] == "1"]
+                some = keys.where(pattern(names) == one)
+                if both:
+                    taken = [fresh() for _ in both]
+                    some = some.select(*(F.col(names[i]).alias(t) for i, t in zip(both, taken, strict=True))).distinct()
+                    match = _all([pattern(asked) == mine, *(F.col(asked[i]) == F.col(t) for i, t in zip(both, taken, strict=True))])
+                    df = df.join(some, match, "left_anti")
+                else:  # every such row may be equal to every such key, of which there is one at least
+                    df = df.where(pattern(asked) != mine)
+        return df.drop(*asked)
+
     def flag_in(self, relation: Relation, node: X.InQuery, env: dict[str, Relation], flags: dict[X.Expr, Typed]) -> tuple[Relation, Typed]:
         """IN as a value of three: a column beside the rows."""
         outer, keys, names = self.keys_of(relation, node, env, flags)
@@ -246,7 +270,7 @@ class Binder:
             if isinstance(part, X.Binary) and part.op == "=" and is_outer(part.left) != is_outer(part.right):
                 pairs.append((part.left, part.right) if is_outer(part.left) else (part.right, part.left))
             elif any(is_outer(x) for x in walk(part)):
-                raise SqlError("a subquery of 'exists' can refer to the outer query only in equalities joined by 'and'", part.span)
+                raise SqlError("within EXISTS, the outer query's columns are compared by = alone, outside any OR", part.span)
             else:
                 rest.append(part)
         for part in rest:
@@ -256,7 +280,7 @@ class Binder:
             x, y = self.expr(a, Scope(relation, {}, where=True)), self.expr(b, Scope(inner, {}, where=True))
             kind = common([x.kind, y.kind])
             if kind is None:
-                raise SqlError(f"cannot compare {x.kind.value} with {y.kind.value}", b.span)
+                raise SqlError(f"this is {y.kind.value}, and the outer column is {x.kind.value}", b.span)
             outer.append(x.to(kind))
             names.append(fresh())
             columns.append(y.to(kind).alias(names[-1]))
@@ -302,7 +326,7 @@ class Binder:
         """The expression that a position or an alias stands for."""
         if isinstance(e, X.Literal) and isinstance(e.value, int) and not isinstance(e.value, bool):
             if not 1 <= e.value <= len(items):
-                raise SqlError(f"{what} position {e.value} is out of range (1..={len(items)})", e.span)
+                raise SqlError(f"{what} counts the selected values, of which number {e.value} is none", e.span, f"there are {len(items)}")
             return items[e.value - 1].expr
         if isinstance(e, X.Column) and e.table is None and not (columns_first and relation.find(e.name)):
             for item in items:
@@ -321,8 +345,7 @@ class Binder:
         for e in query.group_by:
             key = self.target(e, items, relation, "GROUP BY", True)
             if has_aggregate(key):
-                shown = e.name if isinstance(e, X.Column) else e.value if isinstance(e, X.Literal) else "expression"
-                raise SqlError(f"cannot GROUP BY '{shown}': it is an aggregate", e.span)
+                raise SqlError("this is an aggregate, which has a value only once there are groups", e.span)
             keys.append(key)
         plain = Scope(relation, flags)
         columns = [self.expr(k, plain) for k in keys]
@@ -373,7 +396,7 @@ class Binder:
     @staticmethod
     def unknown(name: str, relation: Relation, span: Span) -> None:
         near = suggestion(name, [f.name for f in relation.visible()])
-        raise SqlError(f"unknown column '{name}'", span, f"did you mean '{near}'?" if near else None)
+        raise SqlError(f"there is no column {name}", span, nearest(near))
 
     def expr(self, e: X.Expr, scope: Scope) -> Typed:
         if e in scope.flags:
@@ -386,49 +409,49 @@ class Binder:
             f = scope.relation.find(e.name, e.table)
             if f is None:
                 if e.table is not None and e.table not in scope.relation.tables():
-                    raise SqlError(f"unknown table '{e.table}'", e.span)
+                    raise SqlError(f"there is no table {e.table} here", e.span)
                 self.unknown(e.name, scope.relation, e.span)
             if scope.grouped is not None and not scope.in_aggregate:
-                raise SqlError(f"'{e.name}' must appear in GROUP BY or inside an aggregate", e.span)
+                raise SqlError(f"a group has many values of {e.name}", e.span, "an aggregate makes one of them, or GROUP BY makes it part of the key")
             return f.typed()
         if isinstance(e, X.Unary):
             arg = self.expr(e.arg, scope)
             if e.op == "not":
-                self.need(arg, (Kind.BOOL,), "'not' needs a condition", e.arg.span)
+                self.need(arg, (Kind.BOOL,), "NOT takes a condition", e.arg.span)
                 return Typed(~arg.to(Kind.BOOL), Kind.BOOL)
-            self.need(arg, (Kind.INT, Kind.FLOAT, Kind.DATE, Kind.TIMESTAMP), "arithmetic needs numbers", e.arg.span)
+            self.need(arg, (Kind.INT, Kind.FLOAT, Kind.DATE, Kind.TIMESTAMP), "a sign takes a number", e.arg.span)
             return S.negative(arg)
         if isinstance(e, X.Binary):
             return self.binary(e, scope)
         if isinstance(e, X.Call):
             return self.call(e, scope)
         if isinstance(e, X.Star):
-            raise SqlError("'*' can stand only in a select list or in count(*)", e.span)
+            raise SqlError("* is for all columns of a SELECT, or for count(*)", e.span)
         if isinstance(e, X.Row):
-            raise SqlError("a row of values can stand only before 'in'", e.span)
-        raise SqlError("a subquery can stand only in WHERE", e.span)
+            raise SqlError("several values side by side go with IN alone", e.span)
+        raise SqlError("IN and EXISTS take queries in WHERE alone", e.span)
 
     @staticmethod
     def need(arg: Typed, kinds: tuple[Kind, ...], message: str, span: Span, hint: str | None = None) -> None:
         if arg.kind is not Kind.NULL and arg.kind not in kinds:
-            raise SqlError(f"{message}, this is {arg.kind.value}", span, hint)
+            raise SqlError(f"{message}, and this is {arg.kind.value}", span, hint)
 
     def binary(self, e: X.Binary, scope: Scope) -> Typed:
         a, b = self.expr(e.left, scope), self.expr(e.right, scope)
         if e.op in ("and", "or"):
             for side, node in ((a, e.left), (b, e.right)):
-                self.need(side, (Kind.BOOL,), f"'{e.op}' needs conditions", node.span)
+                self.need(side, (Kind.BOOL,), f"{e.op.upper()} takes conditions", node.span)
             x, y = a.to(Kind.BOOL), b.to(Kind.BOOL)
             return Typed(x & y if e.op == "and" else x | y, Kind.BOOL)
         if e.op in ("+", "-", "*", "/", "%"):
             for side, node in ((a, e.left), (b, e.right)):
-                self.need(side, (Kind.INT, Kind.FLOAT, Kind.DATE, Kind.TIMESTAMP), "arithmetic needs numbers", node.span, "join texts with || or concat()" if e.op == "+" else None)
+                self.need(side, (Kind.INT, Kind.FLOAT, Kind.DATE, Kind.TIMESTAMP), f"{e.op} takes numbers", node.span, "|| puts texts together" if e.op == "+" else None)
             return S.arithmetic(e.op, a, b)
         if common([a.kind, b.kind]) is None:
             hint = None
             if {a.kind, b.kind} & {Kind.DATE, Kind.TIMESTAMP} and Kind.TEXT in (a.kind, b.kind):
-                hint = "write a date as date('2021-01-01'), a time as timestamp('2021-01-01 00:00')"
-            raise SqlError(f"cannot compare {a.kind.value} with {b.kind.value}", e.span, hint)
+                hint = "date() and timestamp() make dates of texts"
+            raise SqlError(f"{a.kind.value} and {b.kind.value} do not compare", e.span, hint)
         return S.compare(e.op, a, b)
 
     def call(self, e: X.Call, scope: Scope) -> Typed:
@@ -438,14 +461,14 @@ class Binder:
             if own is None:
                 known = [*FUNCTIONS, *self.catalog.function_names()]
                 near = suggestion(e.name, known)
-                raise SqlError(f"unknown function '{e.name}'", e.span, f"did you mean '{near}()'?" if near else None)
+                raise SqlError(f"there is no function {e.name}", e.span, nearest(near))
             args = [self.expr(a, scope) for a in e.args]
             return own.bind(args, [a.span for a in e.args], e.span)
         if e.name == "count" and len(e.args) == 1 and isinstance(e.args[0], X.Star):
             self.aggregate_allowed(e, scope)
             return A.count_all()
         if not function.least <= len(e.args) <= (len(e.args) if function.most is None else function.most):
-            raise SqlError(f"{e.name}() takes {function.arity} argument(s), got {len(e.args)}", e.span)
+            raise SqlError(f"{e.name}() has {function.arity} for its number of arguments, not {len(e.args)}", e.span)
         inner = scope
         if function.aggregate:
             self.aggregate_allowed(e, scope)
@@ -457,28 +480,28 @@ class Binder:
                 wanted = (Kind.BOOL,) if i % 2 == 0 and i < len(args) - 1 else tuple(Kind)
             if arg.kind is not Kind.NULL and arg.kind not in wanted:
                 noun = {"int": "a number", "text": "text", "bool": "a condition", "date": "a date or timestamp", "timestamp": "a timestamp"}[wanted[0].value]
-                raise SqlError(f"{e.name}() needs {noun}, this is {arg.kind.value}", node.span)
+                raise SqlError(f"argument {i + 1} of {e.name}() is {noun}, and this is {arg.kind.value}", node.span)
         if function.alike and common([a.kind for a in args]) is None:
-            hint = "write a date as date('2021-01-01')" if any(a.kind.temporal for a in args) else None
-            raise SqlError(f"{e.name}() cannot compare {', '.join(dict.fromkeys(a.kind.value for a in args))}", e.span, hint)
+            hint = "date() makes dates of texts" if any(a.kind.temporal for a in args) else None
+            raise SqlError(f"{e.name}() compares its arguments, and {' and '.join(dict.fromkeys(a.kind.value for a in args))} do not compare", e.span, hint)
         if e.name in ("case", "if", "coalesce", "ifnull"):
             values = [a for i, a in enumerate(args) if e.name in ("coalesce", "ifnull") or i % 2 or i == len(args) - 1]
             if common([v.kind for v in values]) is None:
-                raise SqlError(f"the values of {e.name} have different kinds: {', '.join(dict.fromkeys(v.kind.value for v in values))}", e.span)
+                raise SqlError(f"{e.name} has one kind of value, not {' and '.join(dict.fromkeys(v.kind.value for v in values))}", e.span)
         if e.name == "group_concat" and len(args) > 1 and not isinstance(args[1].value, str):
-            raise SqlError("group_concat() needs a literal separator", e.args[1].span)
+            raise SqlError("what group_concat() puts between values is a text written out", e.args[1].span)
         if e.name == "strftime" and not isinstance(args[0].value, str):
-            raise SqlError("strftime() needs a literal format", e.args[0].span)
+            raise SqlError("the pattern of strftime() is a text written out", e.args[0].span)
         return function.build(*args)
 
     @staticmethod
     def aggregate_allowed(e: X.Call, scope: Scope) -> None:
         if scope.where:
-            raise SqlError(f"the aggregate {e.name}() is not allowed in WHERE", e.span, "filter the grouped query as a common table expression")
+            raise SqlError(f"WHERE picks rows before {e.name}() sums them up", e.span, "name the grouped query in a WITH and put a WHERE on it")
         if scope.in_aggregate:
-            raise SqlError(f"aggregates cannot be nested: {e.name}()", e.span)
+            raise SqlError(f"{e.name}() stands inside another aggregate", e.span)
         if scope.grouped is None:
-            raise SqlError(f"the aggregate {e.name}() is not allowed here", e.span)
+            raise SqlError(f"there are no groups here for {e.name}()", e.span)
 
 
 def _all(parts: list[SparkColumn]) -> SparkColumn:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from difflib import get_close_matches
 
 
 @dataclass(frozen=True)
@@ -16,41 +17,40 @@ class Span:
 
 
 class SqlError(ValueError):
-    """A statement that cannot be run; str() shows it with its place once the text is known."""
+    """A statement that cannot be run; str() shows the place once the text is known."""
 
     def __init__(self, message: str, span: Span, hint: str | None = None):
         super().__init__(message)
         self.message, self.span, self.hint, self.source = message, span, hint, None
 
     def within(self, source: str) -> SqlError:
-        self.source = self.source if self.source is not None else source
+        if self.source is None:
+            self.source = source
         return self
 
-    def render(self, source: str | None = None) -> str:
-        text = self.source or "" if source is None else source
-        before = text[: self.span.start]
-        line_no, column = before.count("\n") + 1, len(before) - (before.rfind("\n") + 1)
-        line = (text.split("\n")[line_no - 1 : line_no] or [""])[0]
-        marks = max(1, min(self.span.end - self.span.start, len(line) - column))
-        shown = [f"error: {self.message}", f"  --> line {line_no}, column {column + 1}", f"   | {line}", f"   | {' ' * column}{'^' * marks}"]
-        return "\n".join([*shown, *([f"hint: {self.hint}"] if self.hint else [])]) + "\n"
+    def place(self) -> tuple[int, int]:
+        """Line and column, both from 1."""
+        lines = (self.source or "")[: self.span.start].split("\n")
+        return len(lines), len(lines[-1]) + 1
 
     def __str__(self) -> str:
-        return self.render()
+        """The message and hint, then the line of the place with what is meant between brackets."""
+        told = self.message + (f" ({self.hint})" if self.hint else "")
+        if self.source is None:
+            return told
+        line, column = self.place()
+        text = self.source.split("\n")[line - 1]
+        start, end = column - 1, min(max(column - 1 + self.span.end - self.span.start, column - 1), len(text))
+        return f"{line}:{column}: {told}\n{text[:start]}⟦{text[start:end]}⟧{text[end:]}"
 
 
-def distance(a: str, b: str) -> int:
-    """Least number of letters to insert, drop or change, ASCII case aside."""
-    a, b = a.lower(), b.lower()
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+def suggestion(name: str, known: Iterable[str]) -> str | None:
+    """The most alike of the known names, if any is alike enough; ASCII case aside."""
+    of = {k.lower(): k for k in known}
+    found = get_close_matches(name.lower(), of, n=1, cutoff=0.65)
+    return of[found[0]] if found else None
 
 
-def suggestion(name: str, known: Iterable[str]) -> str | None:
-    """The nearest known name, within a third of the letters, but 1 to 3."""
-    near = min(((distance(name, k), i, k) for i, k in enumerate(known)), default=None)
-    return near[2] if near and near[0] <= min(max(len(name) // 3, 1), 3) else None
+def nearest(name: str | None) -> str | None:
+    """A hint that names what may have been meant."""
+    return f"closest: {name}" if name else None
