@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -23,41 +24,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's, or one of its own where none is set."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+    """The folder that all executors share. Where none is set, a local master gets one of its own; a cluster has to name it."""
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
+    return (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()).rstrip("/")
 
 
-_written: list[str] = []
+#: The folder of the innermost workspace() of this thread.
+_folder: ContextVar[str | None] = ContextVar("folder", default=None)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes rows to the shared folder and reads them back: a lost executor costs no recomputation.
+@contextlib.contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """A folder for the intermediate tables of what is called inside, deleted at its end. Frames made inside are to be read inside.
 
-    The shuffles behind the rows are let go once nothing refers to them.
+    Without a workspace, each intermediate table has a folder of its own, which stays until the shared folder is cleared.
     """
-    spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    release(spark)
-    return out
+    token = _folder.set(path)
+    try:
+        yield path
+    finally:
+        _folder.reset(token)
+        delete(spark, path)
 
 
-def forget(spark: SparkSession) -> None:
-    """Deletes what stored() wrote. Only for when no frame that was built on it is still to be read."""
-    jvm = spark.sparkContext._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of frames that are out of use."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes rows to the shared folder and reads them back: a lost executor costs no recomputation.
+
+    Spark drops the shuffles of the write at its end, as nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = f"{_folder.get() or shared_dir(spark)}/tessella-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -65,6 +81,17 @@ def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def sampled(df: DataFrame, most: int) -> DataFrame:
+    """At most so many rows of distinct ranks (a column of hashes), the same on every run; rows of equal ranks count as one.
+
+    Rows far from being chosen go before any shuffle, so neither a task nor the driver holds many more.
+    """
+    n = df.select("rank").count()
+    place = F.pmod("rank", F.lit(1 << 30))
+    near = df.where(place < int((1 << 30) * 1.5 * most / n)) if n > most else df
+    return near.dropDuplicates(["rank"]).orderBy(place, "rank").limit(most)
+
+
 def trim() -> None:
     """Gives freed memory back at a task's end: workers live on, and what each keeps adds to its executor's."""
     pa.default_memory_pool().release_unused()
