@@ -118,9 +118,14 @@ def verdicts(found: DataFrame, least_items: int = 2) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", n.alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (n >= least_items).alias("contaminated"))
 
 
-def clean(docs: DataFrame, items: DataFrame, least_items: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    found = decontaminate(docs, items, id_col, text_col)
+def clean(docs: DataFrame, items: DataFrame, least_items: int = 1, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents without passages of so many items, with all their columns.
+
+    A passage is WINDOW words at least: shorter items, which any text may have by chance, count for nothing. Null and
+    empty texts stay, and so does every document where there are no items. Rows that repeat an id are judged by their own texts.
+    """
+    long = items.where(F.size(words_of(F.col(item_text_col))) >= WINDOW).select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
+    found = decontaminate(docs, long, id_col, text_col)
     bad = stored(found.where(F.size("item_ids") >= least_items).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
     same = docs[id_col].eqNullSafe(bad["__id"]) & (F.xxhash64(docs[text_col].cast("string")) == bad["__hash"])
     return docs.join(maybe_broadcast(bad), same, "left_anti")
