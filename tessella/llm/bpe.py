@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import by_batch
 
-#: Characters of a text that is encoded in one piece.
-LEAF = 1 << 15
+#: Characters of a leaf of the tree, which is encoded in one piece.
+LEAF = 400
+#: Characters of a window at a seam up to which it is encoded in one piece; longer ones go match by match.
+FLAT = 1 << 15
 #: Bytes of a pattern match from which its tokens are joined from halves.
 LONG_MATCH = 1 << 14
 _SAFE = regex.compile(r"(?<=[\w!-/:-@\[-`{-~]) ")
@@ -36,7 +38,7 @@ _SAFE = regex.compile(r"(?<=[\w!-/:-@\[-`{-~]) ")
 class TreeCodec:
     """Encodes and decodes by the ranks of a tokenizer file; no special tokens."""
 
-    def __init__(self, path: str, pattern: str, leaf: int = LEAF, long_match: int = LONG_MATCH):
+    def __init__(self, path: str, pattern: str, leaf: int = LEAF, long_match: int = LONG_MATCH, flat: int = FLAT):
         import tiktoken
 
         with open(path, "rb") as f:
@@ -46,7 +48,8 @@ class TreeCodec:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.length = np.array([len(t) for t in self.bytes_of], np.int64)
-        self.pattern, self.leaf, self.long_match = regex.compile(pattern), leaf, long_match
+        self.pattern, self.leaf, self.long_match, self.flat = regex.compile(pattern), leaf, long_match, flat
+        self.joins = 0  # of halves, so far
 
     def _flat(self, text: str) -> np.ndarray:
         return np.asarray(self.core.encode_ordinary(text), np.uint32)
@@ -59,6 +62,7 @@ class TreeCodec:
         return self._join(left, self.encode(left), right, self.encode(right))
 
     def _join(self, left: str, a: np.ndarray, right: str, b: np.ndarray) -> np.ndarray:
+        self.joins += 1
         width = 64
         while True:
             cut = self._last_cut(left, width)
@@ -69,10 +73,9 @@ class TreeCodec:
                 break
             width *= 2
         start, end = cut or 0, until.start() if until else len(right)
-        kept_a, kept_b = left[:start], right[end:]
-        window = left[start:] + right[:end]
-        head, tail = self._upto(a, len(kept_a.encode())), self._upto(b, len(right[:end].encode()))
-        return np.concatenate([a[:head], self._window(window), b[tail:]])
+        head = len(a) - self._tokens_of(a[::-1], len(left[start:].encode())) if start else 0
+        tail = self._tokens_of(b, len(right[:end].encode()))
+        return np.concatenate([a[:head], self._window(left[start:] + right[:end]), b[tail:]])
 
     @staticmethod
     def _last_cut(left: str, width: int) -> int | None:
@@ -82,12 +85,12 @@ class TreeCodec:
             pass
         return found.start() if found else None
 
-    def _upto(self, ids: np.ndarray, size: int) -> int:
-        """How many tokens make up so many bytes."""
-        return int(np.searchsorted(np.cumsum(self.length[ids]), size, side="right")) if size else 0
+    def _tokens_of(self, ids: np.ndarray, size: int) -> int:
+        """How many of the first tokens make up so many bytes."""
+        return int(np.searchsorted(np.cumsum(self.length[ids[:size]]), size, side="left")) + 1 if size else 0
 
     def _window(self, text: str) -> np.ndarray:
-        if len(text) <= self.leaf:
+        if len(text) <= self.flat:
             return self._flat(text)
         return np.concatenate([self._match(m.group()) for m in self.pattern.finditer(text)] or [np.zeros(0, np.uint32)])
 
