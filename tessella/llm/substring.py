@@ -11,16 +11,18 @@ the same document) is removed.
 3. Segments of recurring anchors are dealt to shards by anchor. A shard takes them anchor by anchor in
    document order and compiles the windows of a bounded number of segments into an automaton, in which
    the first place of each window stays; streaming the segments through it finds every occurrence,
-   and all but the first are repeats. Anchors with very many segments are dealt by window instead, with
-   least places computed before the shuffle, so no anchor fills a task.
+   and all but the first are repeats. Anchors with very many segments or windows are dealt by window instead, by a
+   cryptographic hash of the window's words, with least places computed before the shuffle, so no anchor fills a task.
 4. The repeats are routed back to the documents, whose other words are kept.
 
 Null texts have no words. Null ids count as smaller than all others. Rows that repeat an id
-are rows of one document: equal windows at equal places of them are not repeats of each other.
+are rows of one document: equal windows at equal places of them are not repeats of each other. Of windows that start together in several
+rows, none is earlier. An empty table gives no rows. Columns other than the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -36,8 +38,8 @@ from .common import Words, by_batch, chunks, grams, mix, raw, stored, trim
 WINDOW, GRAM = 20, 8
 #: Segments of one automaton, about.
 SHARD_SEGMENTS = 4000
-#: Segments of an anchor up to which they are dealt by anchor; beyond, by window.
-ANCHOR_SEGMENTS = 4000
+#: Segments of an anchor, and windows of them, up to which they are dealt by anchor; beyond, by window.
+ANCHOR_SEGMENTS, ANCHOR_WINDOWS = 4000, 200_000
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Id that stands for null: below all others.
 NO_ID = -(1 << 63)
@@ -178,7 +180,7 @@ def _shards(segments: DataFrame, window: int, most: int) -> DataFrame:
             else:
                 held += now
             now = []
-            if len(held) >= most:
+            if len(held) >= most or sum(r[4] for r in held) >= ANCHOR_WINDOWS:
                 out += repeats_of(held, window)
                 held = []
             return out
@@ -199,18 +201,19 @@ def _shards(segments: DataFrame, window: int, most: int) -> DataFrame:
 
 
 def _by_window(segments: DataFrame, window: int) -> DataFrame:
-    """(id, row, start, end) of repeats among segments of anchors with very many of them: least places of each window."""
+    """(id, row, start, end) of repeats among segments of anchors with very many of them: least places of each window, told apart by a cryptographic hash of its words."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, owners, places, hashes = [], [], [], [np.zeros(0, np.uint64)]
+        keys, owners, places, hashes = [], [], [], []
         for key, row, first, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             keys += [key] * n
             owners += [row] * n
             places += range(first, first + n)
-            hashes.append(grams(Words([text]).hash, window))
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(owners, pa.int64()), pa.array(places, pa.int32()), pa.array(np.concatenate(hashes).view(np.int64))], ["id", "row", "first", "window"])
+            words = text.split(b" ")
+            hashes += [hashlib.blake2b(b" ".join(words[k : k + window]), digest_size=16).digest() for k in range(n)]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(owners, pa.int64()), pa.array(places, pa.int32()), pa.array(hashes, pa.binary())], ["id", "row", "first", "window"])
 
-    rows = by_batch(segments.select("id", "row", "first", "n", "words"), step, "id long, row long, first int, window long")
+    rows = by_batch(segments.select("id", "row", "first", "n", "words"), step, "id long, row long, first int, window binary")
     least = rows.groupBy("window").agg(F.min(F.struct("id", "first")).alias("place"))
     later = rows.join(least, "window").where((F.col("id") > F.col("place.id")) | (F.col("first") > F.col("place.first")))
     return later.select("id", "row", F.col("first").alias("start"), (F.col("first") + window).cast("int").alias("end"))
@@ -219,8 +222,9 @@ def _by_window(segments: DataFrame, window: int) -> DataFrame:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, most: int = SHARD_SEGMENTS, by_anchor: int = ANCHOR_SEGMENTS) -> DataFrame:
     """One row for each row: id, n_words, n_removed, kept (words joined by one space), removed (word ranges, sorted, apart)."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
-    several = _anchor_rows(rows, window, gram, times=True).groupBy("anchor").agg(F.sum("times").alias("total")).where("total > 1")
-    places = _anchor_rows(rows, window, gram).join(several, "anchor").select("id", "row", "anchor", "first", "n", (F.col("total") > by_anchor).alias("hot"))
+    several = _anchor_rows(rows, window, gram, times=True).groupBy("anchor").agg(F.sum("times").alias("total"), F.sum("n").alias("windows")).where("total > 1")
+    hot = (F.col("total") > by_anchor) | (F.col("windows") > ANCHOR_WINDOWS)
+    places = _anchor_rows(rows, window, gram).join(several.select("anchor", hot.alias("hot")), "anchor").select("id", "row", "anchor", "first", "n", "hot")
     by_doc = stored(places).groupBy("id", "row").agg(F.collect_set(F.struct("anchor", "first", "n", "hot")).alias("places"))
     segments = stored(_segments(rows.join(by_doc, ["id", "row"]).select("id", "text", "row", "places"), window))
     again = _shards(segments.where("not hot"), window, most)
