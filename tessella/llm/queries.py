@@ -31,7 +31,8 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(*secret_scan.labelled_samples())))
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.digests(secret_scan.scan(docs, secret_scan.fit(docs)))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +40,8 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"), urls.built_in()).withColumnRenamed("id", "page_id")
+    model = urls.fit(table(spark, sf_dir, "documents"))
+    return urls.judge(table(spark, sf_dir, "pages"), model).withColumnRenamed("id", "page_id")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

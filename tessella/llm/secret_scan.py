@@ -1,13 +1,16 @@
 """Secret scans: patterns, and character Markov models compared by log-likelihood ratio.
 
 Two second-order character models are trained from labelled samples: random strings (keys, digests,
-tokens) and ordinary identifiers (words, joined words, paths, addresses). A run of key characters, or
+tokens) and ordinary identifiers (words, joined words, paths, addresses), the latter made of a built-in list and of words of
+the documents themselves, as the patterns leave them (see words_of()). A run of key characters, or
 what the patterns leave of it, is reported where the mean log-likelihood ratio of its characters exceeds
-a threshold fitted on held-out samples; if it does not as a whole, its parts between / = - _ are judged,
-neighbouring random ones together.
+a threshold, which lies midway between held-out samples of both kinds; if it does not as a whole, its parts between / = - _ are judged,
+neighbouring random ones together. Nothing but the ratio decides.
 
-Spans count code points, end exclusive. Null text counts as empty and has no spans. Spans of the
-patterns may overlap each other; those of the models (kind ``random``) overlap none of them.
+Spans count code points, end exclusive. Null text counts as empty and has no spans; an empty table gives no rows. Spans of the
+patterns may overlap each other; those of the models (kind ``random``) overlap none of them. Of spans that begin together, the patterns' come
+in the order of their kinds. Each row is judged by its own text, so rows that repeat an id, or a row, each have their result. Columns other than the
+id and the text are not read, whatever their names; redact() passes them on.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch
+from .common import by_batch, sampled
 
 #: Kinds in their order; the patterns and least lengths are fixed values.
 PATTERNS = {
@@ -86,9 +89,7 @@ class MarkovPair:
         return float(self.ratio[codes[:-2], codes[1:-1], codes[2:]].mean()) if run else -np.inf
 
     def is_random(self, run: str) -> bool:
-        """Random by the models, and not of digits or of letters of one case alone, as numbers and words (a capital first) are."""
-        kinds = any(c.isdigit() for c in run) + any("a" <= c <= "z" for c in run) + any("A" <= c <= "Z" for c in run)
-        return kinds > 1 and not (run.isalpha() and run[1:].islower()) and self.score(run) > self.threshold
+        return self.score(run) > self.threshold
 
 
 def _log_model(texts: list[str]) -> np.ndarray:
@@ -103,15 +104,63 @@ def _log_model(texts: list[str]) -> np.ndarray:
 
 
 def train(texts: list[str], labels: list[int], quantile: float = 0.999) -> MarkovPair:
-    """Fits both models on three quarters of the samples; the threshold keeps that share of the other ordinary ones, and is positive."""
+    """Fits both models on three quarters of the samples.
+
+    Of the other samples, the threshold keeps this share of the ordinary ones below it; where that leaves room below the random ones (but for
+    a hundredth of them), it lies midway.
+    """
     held = [i % 8 >= 6 for i in range(len(texts))]
     part = lambda y, h: [t for t, l, x in zip(texts, labels, held, strict=True) if l == y and x == h]  # noqa: E731, E741
     pair = MarkovPair(_log_model(part(1, False)) - _log_model(part(0, False)), 0.0)
-    ordinary = [pair.score(t) for t in part(0, True)]
-    pair.threshold = max(0.2, float(np.quantile(ordinary, quantile))) if ordinary else 0.2
+    ordinary, random_ = ([pair.score(t) for t in part(y, True)] for y in (0, 1))
+    low = float(np.quantile(ordinary, quantile)) if ordinary else -np.inf
+    high = float(np.quantile(random_, 0.01)) if random_ else np.inf
+    pair.threshold = low if not low < high else (low + high) / 2 if np.isfinite([low, high]).all() else 0.0
     return pair
 
 
+#: Bounds of the words that training takes from documents: texts, words of each, letters of each.
+SAMPLE_TEXTS, SAMPLE_WORDS, SAMPLE_LETTERS = 2000, 300, 40
+
+
+def words_of(df: DataFrame, text_col: str = "text", most: int = SAMPLE_TEXTS) -> list[list[str]]:
+    """Runs of letters of some documents, outside what the patterns find, for samples of ordinary strings.
+
+    Texts are chosen by hash, so the same on every run. At most the bounds above come to the driver.
+    """
+    text = F.col(text_col).cast("string")
+    plain = text
+    for kind, pattern in (("assign", PATTERNS["assign"][0].pattern.replace("(?ai)", "(?i)")), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]{16,}")):
+        plain = F.regexp_replace(plain, pattern, " ")
+    found = F.slice(F.regexp_extract_all(plain, F.lit(r"(?<![\p{L}0-9+/_=-])([A-Za-z]{2,%d})(?![\p{L}0-9+/_=-])" % SAMPLE_LETTERS), F.lit(1)), 1, SAMPLE_WORDS)
+    hashed = df.where(text.isNotNull()).select(text.alias(text_col), F.xxhash64(text).alias("rank"))
+    chosen = sampled(hashed, most).select(found.alias("words"))
+    return [r["words"] for r in chosen.where(F.size("words") > 0).collect()]
+
+
+def samples_with(words: list[list[str]], n: int = 4000, seed: int = 7) -> tuple[list[str], list[int]]:
+    """The built-in samples, and as many ordinary strings again of neighbouring words, run together or joined by marks."""
+    texts, labels = labelled_samples(n, seed)
+    rng = random.Random(seed + 1)
+    for _ in range(n if words else 0):
+        of = rng.choice(words)
+        at, length = rng.randrange(len(of)), rng.randint(LEAST_RANDOM, 64)
+        join, style = rng.choice(["", "", "_", "-", "/"]), rng.choice([str, str.lower, str.upper, str.capitalize])
+        made = ""
+        for w in itertools.islice(itertools.cycle(of), at, at + 40):
+            made += (join if made else "") + style(w)
+            if len(made) >= length:
+                break
+        texts.append(made)
+        labels.append(0)
+    return texts, labels
+
+
+def fit(df: DataFrame, text_col: str = "text") -> MarkovPair:
+    """Models and threshold for a table."""
+    return train(*samples_with(words_of(df, text_col)))
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     for order, (kind, (pattern, group, least)) in enumerate(PATTERNS.items()):

@@ -2,9 +2,13 @@
 
 A host's labels and a path's parts are cut at marks and digits; each remaining run of letters is
 split into the likeliest sequence of lexicon words, with letters outside any word kept together
-as unknown runs. Multinomial naive Bayes, trained from labelled addresses, scores the words.
+as unknown runs. The lexicon's unigram model is fitted on the words of a table's texts, counted over all of them; words of the labelled samples
+are always in it. Multinomial naive Bayes scores the words, trained from labelled addresses: names made of
+two bounded word lists, of words of unwanted and of ordinary sites, and ordinary names made of the lexicon itself.
 
-Null addresses and those without ``://`` have an empty host and path, fit no rule and are allowed.
+Null addresses and those without ``://`` have an empty host and path, fit no rule and are allowed, as are addresses that no
+word speaks for or against (score 0 or less). Each row is judged by itself, so rows that repeat an id, or a row, each have their
+result; an empty table gives no rows. Columns other than the id and the address are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,9 +17,8 @@ import math
 import random
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,6 +37,9 @@ ORDINARY = (
 ).split()
 
 
+_UNWANTED = frozenset(UNWANTED)
+
+
 def host_of(url: Column) -> Column:
     rest = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
     return F.coalesce(F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
@@ -54,7 +60,7 @@ def rule_of(host: Column, path: Column, rules: Iterable[tuple[str, str, str]] =
 
 @dataclass
 class Segmenter:
-    """Unigram model: a word's weight falls with its rank; a letter outside any word costs unknown."""
+    """Unigram model: log-probabilities of words; a letter outside any word costs unknown."""
 
     lexicon: dict[str, float]
     unknown: float = math.log(1e-4)
@@ -64,10 +70,9 @@ class Segmenter:
         self.longest = max(map(len, self.lexicon), default=1)
 
     @classmethod
-    def of(cls, words: Iterable[str]) -> Segmenter:
-        ranks = {w: i for i, w in reversed(list(enumerate(words)))}
-        total = sum(1 / (i + 10) for i in ranks.values())
-        return cls({w: math.log(1 / (i + 10) / total) for w, i in ranks.items()})
+    def of(cls, counts: Mapping[str, float]) -> Segmenter:
+        total = sum(counts.values())
+        return cls({w: math.log(n / total) for w, n in counts.items()})
 
     def split(self, run: str) -> list[str]:
         best, back = [0.0], [0]
@@ -113,13 +118,14 @@ class UrlModel:
         return "block" if self.score(host, path) > 0 else "allow"
 
 
-def labelled_urls(n: int = 2000, seed: int = 11) -> list[tuple[str, str, bool]]:
-    """Built-in samples (host, path, unwanted): a fifth unwanted, with words of the lists run together or apart."""
+def labelled_urls(n: int = 2000, seed: int = 11, words: Sequence[str] = ()) -> list[tuple[str, str, bool]]:
+    """Samples (host, path, unwanted): a fifth unwanted, with words of the lists run together or apart; of the others, half have names of the words given."""
     rng = random.Random(seed)
-    out = []
+    out, plain = [], [w for w in words if w not in _UNWANTED]
     for i in range(n):
         bad = i % 5 == 0
-        names = rng.choices(UNWANTED if bad else ORDINARY, k=rng.randint(1, 2)) + (rng.choices(ORDINARY, k=1) if rng.random() < 0.3 else [])
+        of = UNWANTED if bad else plain if plain and i % 2 else ORDINARY
+        names = rng.choices(of, k=rng.randint(1, 2)) + (rng.choices(ORDINARY, k=1) if rng.random() < 0.3 else [])
         rng.shuffle(names)
         host = rng.choice(["", "www.", "m.", "blog."]) + rng.choice(["", "-"]).join(names) + rng.choice([".com", ".net", ".org", ".example.com"])
         out.append((host, "/" + "/".join(rng.choices(ORDINARY, k=rng.randint(0, 3))) + f"/{rng.randint(1, 9999)}", bad))
@@ -139,9 +145,35 @@ def train(samples: list[tuple[str, str, bool]], segmenter: Segmenter, smoothing:
     return model
 
 
-@lru_cache(maxsize=1)
-def built_in() -> UrlModel:
-    return train(labelled_urls(), Segmenter.of([w for pair in zip(UNWANTED * 2, ORDINARY) for w in pair]))
+#: Most words of the lexicon that come from texts, and letters of a word.
+LEXICON, LETTERS = 50_000, 24
+#: Share of all words that a word of the lists counts for at least; so much that three common short words do not make it up.
+LISTED = 1e-3
+
+
+def lexicon(words: Mapping[str, float]) -> dict[str, float]:
+    """Counts of words of three letters at least, and of those listed."""
+    counts = {w: float(n) for w, n in words.items() if len(w) > 2}
+    least = max(sum(counts.values()) * LISTED, 1.0)
+    return counts | {w: max(counts.get(w, 0.0), least) for w in (*UNWANTED, *ORDINARY)}
+
+
+def built_in(words: Mapping[str, float] | None = None) -> UrlModel:
+    """A model from counts of words, of none but the lists' unless given."""
+    counts = lexicon(words or {})
+    return train(labelled_urls(words=sorted(words or {}, key=lambda w: (-words[w], w))[:2000]), Segmenter.of(counts))
+
+
+def word_counts(df: DataFrame, text_col: str = "text", most: int = LEXICON) -> dict[str, int]:
+    """The commonest runs of ASCII letters of all whole texts, lower-cased, and how often each occurs; at most so many come to the driver."""
+    each = F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit(r"(?<![\p{L}\p{N}])[a-z]{2,%d}(?![\p{L}\p{N}])" % LETTERS), F.lit(0)))
+    counted = df.select(each.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return {r["word"]: r["n"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()}
+
+
+def fit(texts: DataFrame, text_col: str = "text") -> UrlModel:
+    """A model whose lexicon is fitted on all texts."""
+    return built_in(word_counts(texts, text_col))
 
 
 def judge(df: DataFrame, model: UrlModel, rules: Iterable[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -151,7 +183,10 @@ def judge(df: DataFrame, model: UrlModel, rules: Iterable[tuple[str, str, str]]
     picked = df.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     ruled = picked.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).select("id", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("ruled"))
 
+    shared = df.sparkSession.sparkContext.broadcast(model)  # of a bounded lexicon
+
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        model = shared.value
         scores = [model.score(h, p) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         verdicts = [r or ("block" if s > 0 else "allow") for r, s in zip(batch.column(4).to_pylist(), scores, strict=True)]
         return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdicts, pa.string()), pa.array(scores, pa.float64())], ["id", "host", "path", "rule", "verdict", "score"])
