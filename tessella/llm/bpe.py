@@ -9,7 +9,8 @@ are joined inside a single match instead, where a list of tokens is the encoding
 each neighbouring pair is the encoding of the pair's own bytes; the window grows until the pairs
 at both its ends are. Decoding concatenates the tokens' bytes up the same tree.
 
-Null text counts as empty and gives no tokens. Ids are packed as little-endian unsigned 32-bit
+Null text counts as empty and gives no tokens; an empty table gives no rows. Each row has its result, so rows that repeat an id, or a row, each have theirs. Columns other
+than the id and the text are not read, whatever their names. Ids are packed as little-endian unsigned 32-bit
 integers, so that a row of any length stays one binary value.
 """
 

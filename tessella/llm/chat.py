@@ -10,7 +10,8 @@ Control strings inside texts and roles get a backslash after their first charact
 ``<\\s>``, ``<\\s>`` becomes ``<\\\\s>``), which unescape() takes back, so that any text survives.
 
 Null texts and roles count as empty. Turns are ordered by turn (null first), then role, then text,
-so repeated turns have a defined place. Null conversation ids make up one conversation.
+so repeated turns have a defined place and each count. Null conversation ids make up one conversation. An empty table gives no rows. Columns other
+than those named are not read, whatever their names.
 """
 
 from __future__ import annotations

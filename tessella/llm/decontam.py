@@ -9,7 +9,8 @@ fewer than WINDOW words is one window: its fingerprint is the least hash of its
 Words are runs of digits, lower-case letters and non-ASCII characters once A-Z are lower-cased.
 Null texts have no words; items without words or with a null id take no part. Rows that repeat
 an item id count as one item with the windows of all of them. Rows that repeat a document id are
-judged apart unless their texts are equal too, in which case they get equal results.
+judged apart unless their texts are equal too, in which case they get equal results. Without items, or without items that have words, nothing is
+hit; an empty table gives no rows. Columns other than those named are not read, whatever their names; clean() passes the documents' on.
 """
 
 from __future__ import annotations

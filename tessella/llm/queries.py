@@ -19,10 +19,12 @@ def tokenizer() -> tuple[str, str]:
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest found of each vector whose id is divisible by 100, among all vectors of its length."""
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, and of one that holds control strings, as read back from their ids."""
     own = [(-1, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))]
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     both = turns.unionByName(spark.createDataFrame(own, "conv_id bigint, turn bigint, role string, text string"))
@@ -31,20 +33,24 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all whole texts, by the patterns and by models trained on the table's own words."""
     docs = table(spark, sf_dir, "documents")
     return secret_scan.digests(secret_scan.scan(docs, secret_scan.fit(docs)))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ids and of what they decode to, for all whole texts."""
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), *tokenizer()))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all addresses, by rules, else by a model whose lexicon is fitted on all documents' words."""
     model = urls.fit(table(spark, sf_dir, "documents"))
     return urls.judge(table(spark, sf_dir, "pages"), model).withColumnRenamed("id", "page_id")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions for all whole texts, learned from rows whose remainder is not 2; rejected says that the pipeline would drop the row."""
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs))
     held = F.coalesce(langid.remainder(F.col("id")) == 2, F.lit(False))
@@ -52,18 +58,22 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents without windows of 20 words that start earlier."""
     return substring.digests(substring.dedup(table(spark, sf_dir, "documents")))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of all documents."""
     return jaccard.link(table(spark, sf_dir, "documents"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages."""
     return html_text.extract(table(spark, sf_dir, "pages"), counted=False)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of benchmark windows in all documents; contaminated from two items on."""
     return decontam.verdicts(decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
