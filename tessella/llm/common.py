@@ -33,8 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()).rstrip("/")
 
 
-#: The folder of the innermost workspace() of this thread.
-_folder: ContextVar[str | None] = ContextVar("folder", default=None)
+#: The folders of the workspace()s that this thread is in, the innermost last.
+_folders: ContextVar[tuple[str, ...]] = ContextVar("folders", default=())
 
 
 @contextlib.contextmanager
@@ -44,11 +44,11 @@ def workspace(spark: SparkSession) -> Iterator[str]:
     Without a workspace, each intermediate table has a folder of its own, which stays until the shared folder is cleared.
     """
     path = f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}"
-    token = _folder.set(path)
+    token = _folders.set((*_folders.get(), path))
     try:
         yield path
     finally:
-        _folder.reset(token)
+        _folders.reset(token)
         delete(spark, path)
 
 
@@ -60,13 +60,14 @@ def delete(spark: SparkSession, path: str) -> None:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, outside: bool = False) -> DataFrame:
     """Writes rows to the shared folder and reads them back: a lost executor costs no recomputation.
 
-    Spark drops the shuffles of the write at its end, as nothing reads them again.
+    Spark drops the shuffles of the write at its end, as nothing reads them again. outside: the rows outlast the innermost workspace().
     """
     spark = df.sparkSession
-    path = f"{_folder.get() or shared_dir(spark)}/tessella-{uuid.uuid4().hex}"
+    folders = _folders.get()[:-1] if outside else _folders.get()
+    path = f"{folders[-1] if folders else shared_dir(spark)}/tessella-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:

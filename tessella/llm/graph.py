@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import maybe_broadcast, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,14 +15,14 @@ def components(edges: DataFrame) -> DataFrame:
     label, so labels cover twice the distance each round. Rows stay as many as nodes; each round is
     written to the shared folder, and the driver sees only whether anything changed.
     """
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).select(F.col("a").alias("id"), "component"))
+    ways = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = stored(ways.unionByName(ways.select("a", F.col("a").alias("b"))).distinct())
+    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")))
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        pulled = labels.join(near, "id").select("id", F.least("component", "near").alias("next"), F.col("component").alias("old"))
-        pulled = stored(pulled)
-        above = pulled.select(F.col("id").alias("next"), F.col("next").alias("above"))
-        jumped = stored(pulled.join(above, "next").select("id", F.least("next", "above").alias("component"), (F.least("next", "above") < F.col("old")).alias("moved")))
+        near = both.join(maybe_broadcast(labels.select(F.col("id").alias("b"), "component")), "b").groupBy(F.col("a").alias("id"))
+        pulled = stored(near.agg(F.min("component").alias("next"), F.max(F.when(F.col("a") == F.col("b"), F.col("component"))).alias("old")))
+        above = maybe_broadcast(pulled.select(F.col("id").alias("next"), F.col("next").alias("above")))
+        jumped = stored(pulled.join(above, "next").select("id", F.col("above").alias("component"), (F.col("above") < F.col("old")).alias("moved")))
         labels = jumped.select("id", "component")
         if not jumped.where("moved").limit(1).count():
             return labels

@@ -3,30 +3,33 @@
 Tokens are the distinct shingles of WORDS words of a text. Two sets of a Jaccard similarity of at
 least PERCENT / 100 share a token among the first n - ceil(PERCENT / 100 * n) + 1 of each, under any
 global order of all tokens. The first order sorts by how rare a shingle's rarest word is: only documents that share
-such a prefix token are candidates. Of these the sizes and sketches (counts of tokens in
-buckets, which bound the overlap) must allow a link, and prefixes under the other orders must share a token
-too, before the whole sets are compared.
-
-Copies are one set. Sets that share a prefix token are first compared with HUBS of them only, and sets found alike
-make up a component. Only sets of different components that share a token then meet: within lists of bounded
-length by their sketches; those of longer lists are first narrowed to sets with an equal part (see parts()), again
-with hubs first. So a group of copies costs comparisons in proportion to its members, yet any two sets
-that could link are compared or already known to be in one component.
+such a prefix token are candidates. Of these, the prefixes under two further orders must share a token as well, and
+the sizes and sketches (counts of tokens in buckets, which bound the overlap) must allow a link, before the texts of a
+pair are brought together. Pairs whose shingles' hashes link are compared once more by the shingles' words.
+
+Equal texts are one text, by SHA-256. Members of a list, those that share a token, are compared with HUBS of
+them only, and those found alike make up a component. That is first done with the very first tokens under FIRSTS orders, which
+most sets that link share, so that most copies are in one component before the whole prefixes are listed. Of the lists of prefix tokens, only
+those of several components are then made. The hubs leave a list, as they have met all of it. Lists that still
+hold several components are of sets that share much but do not link, such as texts made from one by many changes. Their members, and
+they alone, are listed anew under a further order, in which the tokens of such lists come last, so that what a text has of its own counts more; again with
+hubs, MORE times as many each time, until every list is of one component or used up.
+So a list is never compared with itself, a group of copies costs comparisons in proportion to its members, and yet any two sets that
+could link are compared or known to be in one component: under each order they share a list, and as long as that stays open, both are listed under the next.
 
 Null texts and texts without words have an empty set and link with nothing. Rows that repeat an id
-link with each other through the id. A null id takes part as a document whose component is null.
+link with each other through the id. A null id takes part as a document whose component is null. An empty table gives an empty
+result. Columns other than the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, by_batch, chunks, grams, maybe_broadcast, mix, raw, stored, trim
+from .common import Words, by_batch, chunks, grams, maybe_broadcast, mix, raw, stored, workspace
 from .graph import components
 
 WORDS, PERCENT = 5, 80
@@ -71,7 +74,7 @@ def prefixes(owner: np.ndarray, token: np.ndarray, rare: np.ndarray, percent: in
     """(text, token) of the first tokens of each set under the order of rarity, then hash, then token."""
     if not len(token):
         return owner, token
-    place = (owner.astype(np.uint64) << np.uint64(48)) | (np.minimum(rare, 31).astype(np.uint64) << np.uint64(43)) | (mix(token) >> np.uint64(21))
+    place = (owner.astype(np.uint64) << np.uint64(48)) | (np.minimum(rare, LAST).astype(np.uint64) << np.uint64(43)) | (mix(token) >> np.uint64(21))
     order = np.argsort(place, kind="stable")
     owner, token = owner[order], token[order]
     edge = np.flatnonzero(np.diff(owner, prepend=-1))
@@ -80,6 +83,10 @@ def prefixes(owner: np.ndarray, token: np.ndarray, rare: np.ndarray, percent: in
     return owner[first], token[first]
 
 
+#: The place of the tokens that come last, and most tokens that are given it, those of the longest lists first.
+LAST, LAST_TOKENS = 31, 1 << 18
+
+
 def _rarity(words: np.ndarray, hashes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """How common each word is; 0 for those that the list does not have."""
     if not len(hashes):
@@ -88,23 +95,30 @@ def _rarity(words: np.ndarray, hashes: np.ndarray, ranks: np.ndarray) -> np.ndar
     return np.where(hashes[at] == words, ranks[at], 0)
 
 
-def other_prefixes(tokens: np.ndarray, percent: int, seeds: tuple[int, ...] = (11, 12)) -> list[np.ndarray]:
+#: Orders beside the first one.
+ORDERS = 2
+
+
+def other_prefixes(tokens: np.ndarray, percent: int = PERCENT) -> list[np.ndarray]:
     """Prefixes of a set of distinct tokens under orders by seeded hashes."""
     n = prefix_size(len(tokens), percent)
-    return [tokens[np.argpartition(h, n - 1)[:n]] if n < len(tokens) else tokens for h in (mix(tokens + np.uint64(s)) for s in seeds)]
+    return [tokens[np.argpartition(h, n - 1)[:n]] if n < len(tokens) else tokens for h in (mix(tokens + np.uint64(11 + i)) for i in range(ORDERS))]
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether two sets of distinct tokens link."""
     if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
-    for x, y in zip(other_prefixes(a, percent), other_prefixes(b, percent), strict=True):
-        if not np.isin(x, y).any():
-            return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def word_shingles(text: bytes, k: int = WORDS) -> set[bytes]:
+    """The distinct shingles themselves."""
+    words = text.lower().split()  # of bytes: A-Z are lower-cased, and ASCII white space parts words
+    return {b" ".join(words[i : i + k]) for i in range(max(len(words) - k + 1, 1))} if words else set()
+
+
 def _common_words(docs: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words in most documents, sorted, and 1 more for each doubling of their documents' number."""
 
@@ -118,7 +132,12 @@ def _common_words(docs: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
         return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
     counted = stored(by_batch(docs, count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"))
-    # a cutoff from counts of counts, so that no more words than the limit come to the driver
+    hashes, n = _most_common(counted, "word", limit)
+    return hashes, np.floor(np.log2(n + 1)).astype(np.int64)
+
+
+def _most_common(counted: DataFrame, key: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the largest n, sorted, and their n: no more than the limit come to the driver, which a cutoff from counts of counts sees to."""
     step = F.floor(F.log2("n") * 8).cast("int")
     room, cutoff = limit, 1 << 20
     for r in sorted(counted.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
@@ -126,20 +145,10 @@ def _common_words(docs: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
         if room < 0:
             break
         cutoff = r["step"]
-    top = counted.where(step >= cutoff).toPandas()
-    hashes = top["word"].to_numpy(np.int64).view(np.uint64)
+    top = counted.where(step >= cutoff).select(key, "n").toPandas()
+    hashes = top[key].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], np.floor(np.log2(top["n"].to_numpy(np.float64) + 1)).astype(np.int64)[order]
-
-
-#: Buckets of the coarse sketch, which is compared within lists; the fine one has a bucket for about two tokens.
-COARSE = 128
-
-
-def coarse_sketches(owner: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
-    """For each of n sets, how many tokens fall into each bucket by hash, 255 at most. A token more or less changes one count by one at most."""
-    bucket = (mix(token + np.uint64(22)) % np.uint64(COARSE)).astype(np.int64)
-    return np.minimum(np.bincount(owner * COARSE + bucket, minlength=n * COARSE), 255).astype(np.uint8).reshape(n, COARSE)
+    return hashes[order], top["n"].to_numpy(np.float64)[order]
 
 
 def fine_sketch(scrambled: np.ndarray) -> bytes:
@@ -149,281 +158,249 @@ def fine_sketch(scrambled: np.ndarray) -> bytes:
     return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
 
 
-def _enough(n: np.ndarray, m: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of such sizes that differ in no fewer tokens can link."""
+def may_link(x: bytes, y: bytes, n: int, m: int, percent: int = PERCENT) -> bool:
+    """Whether sets of sizes n and m with such sketches can link: they differ in no fewer tokens than their sketches do."""
+    differ = abs(n - m)
+    if x and y:
+        a, b = (np.frombuffer(s, np.uint8).astype(np.int64) for s in (x, y))
+        few = min(len(a), len(b))
+        differ = int(np.abs(a.reshape(-1, few).sum(0) - b.reshape(-1, few).sum(0)).sum())
     both = (n + m - differ) // 2
     return 100 * both >= percent * (n + m - both)
 
 
-def may_link(x: bytes, y: bytes, n: int, m: int, percent: int = PERCENT) -> bool:
-    """Whether sets of sizes n and m with such fine sketches can link: they differ in no fewer tokens than their sketches do."""
-    if not x or not y:
-        return bool(_enough(n, m, abs(n - m), percent))
-    a, b = (np.frombuffer(s, np.uint8).astype(np.int64) for s in (x, y))
-    few = min(len(a), len(b))
-    return bool(_enough(n, m, np.abs(a.reshape(-1, few).sum(0) - b.reshape(-1, few).sum(0)).sum(), percent))
+#: Orders whose very first tokens are compared before any prefix is.
+FIRSTS = 4
 
 
-def _sets(docs: DataFrame, k: int, kind: str) -> DataFrame:
-    """(id, n, set_hash, sketch, coarse): size, hash and sketches of each set; equal sets have equal hashes."""
+def first_tokens(token: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Keys of the first tokens of each set that is not empty, one for each order; sets are token[edge[i]:edge[i + 1]]."""
+    start = edge[:-1][edge[1:] > edge[:-1]]
+    if not len(start):
+        return np.zeros((0, FIRSTS), np.uint64)
+    return np.stack([np.minimum.reduceat(mix(token + np.uint64(51 + i)), start) + np.uint64(i) for i in range(FIRSTS)], 1)
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = raw(batch.column(1))
-        n, hashes, fine, rough = [], [], [], []
-        for a, b in chunks(texts):
-            owner, token, _ = chunk_sets(Words(texts[a:b], lower=True), k)
-            edge = np.searchsorted(owner, np.arange(b - a + 1))
-            scrambled = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(token), dtype=np.uint64)])
-            count = np.diff(edge)
-            with np.errstate(over="ignore"):
-                whole = mix(scrambled[edge[1:]] - scrambled[edge[:-1]] + count.astype(np.uint64)).view(np.int64)
-            n += count.tolist()
-            hashes += [int(h) if c else None for h, c in zip(whole, count, strict=True)]
-            rough += [x.tobytes() for x in coarse_sketches(owner, token, b - a)]
-            again = mix(token + np.uint64(21))
-            fine += [fine_sketch(again[x:y]) for x, y in zip(edge[:-1], edge[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.int64()), pa.array(fine, pa.binary()), pa.array(rough, pa.binary())], ["id", "n", "set_hash", "sketch", "coarse"])
 
-    return by_batch(docs, step, f"id {kind}, n long, set_hash long, sketch binary, coarse binary")
+def packed_orders(tokens: np.ndarray, percent: int = PERCENT) -> bytes:
+    """The prefixes under the further orders, one after the other, each token cut to 32 bits: equal tokens stay equal."""
+    return b"".join((x & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() for x in other_prefixes(tokens, percent))
 
 
-def _prefixes(docs: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np.ndarray], kind: str) -> DataFrame:
-    """(token, id) for each prefix token of the first order."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def orders_meet(x: bytes, y: bytes) -> bool:
+    """Whether both further orders' prefixes share a token."""
+    a, b = (np.frombuffer(s, "<u4").reshape(ORDERS, -1) for s in (x, y))
+    return all(np.isin(p, q).any() for p, q in zip(a, b, strict=True))
+
+
+def _sets(texts: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np.ndarray], kind: str) -> DataFrame:
+    """(id, digest, n, firsts, prefix, orders, sketch): each set's size, its first tokens, its prefix of the first order, those of the others, and its sketch."""
+    shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = raw(batch.column(1))
-        tokens, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        texts = raw(batch.column(2))
+        n, orders, sketches = [], [], []
+        tokens, sizes, least = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, FIRSTS), np.uint64)]
         for a, b in chunks(texts):
             w = Words(texts[a:b], lower=True)
-            owner, token = prefixes(*chunk_sets(w, k, _rarity(w.hash, *shared.value)), percent)
-            tokens.append(token)
-            rows.append(a + owner)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(rows)))], ["token", "id"])
-
-    return by_batch(docs, step, f"token long, id {kind}")
+            owner, token, rare = chunk_sets(w, k, _rarity(w.hash, *shared.value))
+            edge = np.searchsorted(owner, np.arange(b - a + 1))
+            n += np.diff(edge).tolist()
+            scrambled = mix(token + np.uint64(21))
+            for x, y in zip(edge[:-1], edge[1:], strict=True):
+                orders.append(packed_orders(token[x:y], percent) if y > x else b"")
+                sketches.append(fine_sketch(scrambled[x:y]))
+            first, prefix = prefixes(owner, token, rare, percent)
+            tokens.append(prefix)
+            sizes.append(np.bincount(first, minlength=b - a))
+            least.append(first_tokens(token, edge))
+        listed = lambda sizes, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.view(np.int64)))
+        firsts = listed(FIRSTS * (np.array(n, np.int64) > 0), np.concatenate(least).ravel())
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(n, pa.int64()), firsts, listed(np.concatenate(sizes), np.concatenate(tokens)), pa.array(orders, pa.binary()), pa.array(sketches, pa.binary())],
+            ["id", "digest", "n", "firsts", "prefix", "orders", "sketch"],
+        )
+
+    return by_batch(texts.select("id", "digest", "text"), step, f"id {kind}, digest binary, n long, firsts array<long>, prefix array<long>, orders binary, sketch binary")
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs that may link by their sketches."""
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("sketch").alias(f"{c}_sketch"), F.col("n").alias(f"{c}_n"))
-    wide = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_sketch", "b_sketch", "a_n", "b_n")
+    """The (a, b) pairs that may link: by the prefixes under the further orders, and by the sketches."""
+    asked = lambda c: maybe_broadcast(pairs.select(c).distinct())
+    side = lambda c: sets.select(F.col("id").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("orders", "sketch", "n"))).join(asked(c), c, "left_semi")
+    wide = side("a").join(maybe_broadcast(pairs), "a").join(side("b"), "b").where(_sizes_allow("a_n", "b_n", percent)).select("a", "b", "a_orders", "b_orders", "a_sketch", "b_sketch", "a_n", "b_n")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = [may_link(*row, percent) for row in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
+        rows = zip(*(batch.column(i).to_pylist() for i in range(2, 8)), strict=True)
+        keep = [orders_meet(p, q) and may_link(*rest, percent) for p, q, *rest in rows]
         return pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return by_batch(wide, step, f"a {kind}, b {kind}")
+    return by_batch(wide, step, f"a {kind}, b {kind}").distinct()
 
 
-#: Longest list whose sets are compared with one another as a whole, and pairs of sets that are compared at once.
-LIST, AT_ONCE = 2000, 100_000
-
-
-def _list_pairs(sizes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of all pairs within lists, some at a time."""
-    for k in np.unique(sizes[sizes > 1]):
-        i, j = np.triu_indices(k, 1)
-        at = starts[sizes == k]
-        lists = max(1, AT_ONCE // len(i))
-        for first in range(0, len(at), lists):
-            for part in range(0, len(i), AT_ONCE):
-                base = at[first : first + lists, None]
-                yield (base + i[None, part : part + AT_ONCE]).ravel(), (base + j[None, part : part + AT_ONCE]).ravel()
-
-
-def _within(rows: DataFrame, key: str, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) pairs of a list's sets of different components that may link by their coarse sketches.
-
-    rows: key, id, group, total (the list's length). Long lists are cut into blocks, of which every two meet in a list of
-    their own, so no task holds more than two blocks.
-    """
-    kind = rows.schema["id"].dataType.simpleString()
-    blocks = F.ceil(F.col("total") / LIST).cast("int")
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("total") / LIST)).cast("int")
-    cut = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = cut.select(
-        F.when(F.col("total") <= LIST, F.col(key)).otherwise(F.xxhash64(key, F.least("block", "other"), F.greatest("block", "other"))).alias("list"),
-        F.when(F.col("block") == F.col("other"), -1).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"),
-        "id",
-        F.xxhash64("group").alias("group"),
-    )
-    wide = met.join(sets.select("id", "n", "coarse"), "id").select("list", "side", "group", "id", "n", "coarse").repartition("list").sortWithinPartitions("list")
-
-    def compare(t: pa.Table) -> pa.RecordBatch:
-        lists, side, group, n = (t[c].to_numpy() for c in ("list", "side", "group", "n"))
-        rough = np.frombuffer(b"".join(t["coarse"].to_pylist()), np.uint8).reshape(-1, COARSE)
-        ids = t["id"].combine_chunks()
-        edge = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
-        found: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
-        for i, j in _list_pairs(np.diff(np.append(edge, len(lists))), edge):
-            ok = (group[i] != group[j]) & ((side[i] < 0) | (side[i] != side[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-            i, j = i[ok], j[ok]
-            ok = _enough(n[i], n[j], np.abs(rough[i].astype(np.int16) - rough[j]).sum(1, dtype=np.int64), percent)
-            found.append(np.stack([i[ok], j[ok]]))
-        i, j = np.concatenate(found, 1)
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(j))], ["x", "y"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if held is None else pa.concat_tables([held, t])
-            lists = t["list"].to_numpy()
-            last = int(np.flatnonzero(lists == lists[-1])[0]) if len(lists) else 0
-            held = t.slice(last)
-            if last:
-                yield compare(t.slice(0, last))
-        if held is not None and held.num_rows:
-            yield compare(held)
-        trim()
-
-    pairs = wide.mapInArrow(run, f"x {kind}, y {kind}")
-    return pairs.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+def _sizes_allow(a: str, b: str, percent: int) -> Column:
+    return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
 
 def _verified(left: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The (a, b) pairs whose texts link. Each pair's texts meet in one row, so a set with many pairs is spread over tasks."""
+    """The (a, b) pairs whose texts link, by their words. Each pair's texts meet in one row, so a set with many pairs is spread over tasks."""
     involved = stored(left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct())
-    texts = stored(docs.join(maybe_broadcast(involved), "id", "left_semi"))
+    texts = stored(docs.select("id", "text").join(maybe_broadcast(involved), "id", "left_semi"))
     text = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"{c}_text"))
-    wide = left.join(text("a"), "a").join(text("b"), "b").select("a", "b", "a_text", "b_text")
+    wide = text("a").join(maybe_broadcast(left), "a").join(text("b"), "b").select("a", "b", "a_text", "b_text")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         of: dict[bytes, np.ndarray] = {}
+        words: dict[bytes, set[bytes]] = {}
 
         def tokens(t: bytes) -> np.ndarray:
             if t not in of:
                 of[t] = np.unique(shingles(Words([t], lower=True).hash, k))
             return of[t]
 
-        same = [alike(tokens(x), tokens(y), percent) for x, y in zip(raw(batch.column(2)), raw(batch.column(3)), strict=True)]
+        def by_words(x: bytes, y: bytes) -> bool:
+            for t in (x, y):
+                if t not in words:
+                    words[t] = word_shingles(t, k)
+            both = len(words[x] & words[y])
+            return 100 * both >= percent * (len(words[x]) + len(words[y]) - both)
+
+        same = [alike(tokens(x), tokens(y), percent) and by_words(x, y) for x, y in zip(raw(batch.column(2)), raw(batch.column(3)), strict=True)]
         return pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(same, pa.bool_()))
 
     kind = left.schema["a"].dataType.simpleString()
-    return by_batch(wide, step, f"a {kind}, b {kind}")
-
-
-#: Sets with which all others of a token or part are compared first.
-HUBS = 4
-
-
-def _star(postings: DataFrame, key: str, sizes) -> DataFrame:
-    """(a, b) pairs of each list's members with its hubs, the least members under several hash orders; least values are taken before the shuffle."""
-    member = F.struct("id", "n_min", "n_max")
-    asked = [F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), member.alias("m"))).alias(f"hub{i}") for i in range(HUBS)]
-    hubs = postings.groupBy(key).agg(*asked).select(key, F.explode(F.array_distinct(F.array(*(F.col(f"hub{i}.m") for i in range(HUBS))))).alias("hub"))
-    met = postings.join(hubs, key).where((F.col("id") != F.col("hub.id")) & sizes("n_min", "n_max", "hub.n_min", "hub.n_max"))
-    return met.select(F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b")).distinct()
-
-
-def _class_sizes(most: int, percent: int) -> list[int]:
-    """Least sizes of the classes of sets: each is by as much larger than the one before as sets that link may be."""
-    out = [1]
-    while out[-1] <= most:
-        out.append(max(out[-1] + 1, -(-100 * out[-1] // percent)))
-    return out
-
-
-def parts(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Keys of a set's parts. Two sets that link have a key in common.
-
-    Sets that link differ in few tokens, so of more parts than that, dealt by hash, one is equal in both. The number
-    of parts goes by class of size, and a set has keys for its own class and the next, which covers the sizes of sets
-    that link. Empty parts have keys only in sets of so few parts with tokens that all of those might differ.
-    """
-    n = len(tokens)
-    least = _class_sizes(n, percent)
-    own = int(np.searchsorted(least, n, side="right")) - 1
-    grown = -(-100 * least[-1] // percent)
-    least = [*least, *(x for x in _class_sizes(2 * grown, percent) if x > least[-1])]
-    out = []
-    scrambled = mix(tokens + np.uint64(31))
-    for size_class in (own, own + 1):
-        # sets of this class or the one below are smaller than the next class's least; 2 - 2t over 1 + t of both sizes may differ
-        differ = (100 - percent) * 2 * (least[size_class + 1] - 1) // (100 + percent)
-        number = differ + 1 + -(-15 * differ // 100)
-        part = (mix(tokens + np.uint64(41 + size_class)) % np.uint64(number)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        edge = np.flatnonzero(np.diff(part[order], prepend=-1))
-        with np.errstate(over="ignore"):
-            sums = np.add.reduceat(scrambled[order], edge)
-            keys = mix(sums + mix(part[order][edge].astype(np.uint64) + np.uint64(size_class << 32)))
-            out.append(keys)
-            if len(edge) <= differ:
-                empty = np.setdiff1d(np.arange(number), part).astype(np.uint64)
-                out.append(mix(mix(empty + np.uint64(size_class << 32)) + np.uint64(1)))
-    return np.concatenate(out)
-
-
-def _parts(docs: DataFrame, k: int, percent: int, kind: str) -> DataFrame:
-    """(part, id) for each key of each set."""
+    return by_batch(wide, step, f"a {kind}, b {kind}").distinct()
+
+
+#: Members of a list with which all others are compared at first, and how many times as many each time it is still open.
+HUBS, MORE = 4, 4
+
+
+def _hubs(lists: DataFrame, hubs: int) -> DataFrame:
+    """(key, hub, hub_n, hub_group): so many members of each list, the first by hash of the id, so that lists of the same members have the same hubs. Cut before the shuffle."""
+    first = lists.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("id"), "id", "n"))).where(F.col("place") <= hubs)
+    return first.select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("group").alias("hub_group"))
+
+
+def _met(lists: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) pairs of each list's members with its hubs of other components, if their sizes allow a link."""
+    met = lists.join(hubs, "key").where((F.col("group") != F.col("hub_group")) & _sizes_allow("n", "hub_n", percent))
+    return met.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
+
+
+def _open(lists: DataFrame, labels: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
+    """(key, id, n, group) of the lists that still have members of several components, hubs taken out, which have met all others."""
+    left = lists.select("key", "id", "n")
+    if hubs is not None:
+        left = left.join(hubs.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
+    labelled = left.join(_several(left, "key"), "key").join(maybe_broadcast(labels), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("group"))
+    return stored(labelled.join(_mixed(labelled), "key"))
+
+
+def _listed(texts: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np.ndarray], last: np.ndarray, kind: str) -> DataFrame:
+    """(key, id, n) for each prefix token of each set under the first order, but that some tokens, given sorted, come last."""
+    shared = texts.sparkSession.sparkContext.broadcast((common, last))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        common, last = shared.value
+        keys, rows, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         texts = raw(batch.column(1))
         for a, b in chunks(texts):
             w = Words(texts[a:b], lower=True)
-            for i in range(b - a):
-                s = np.unique(shingles(w.hash[w.at[i] : w.at[i + 1]], k))
-                if len(s):
-                    keys.append(parts(s, percent))
-                    rows.append(np.full(len(keys[-1]), a + i))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(rows)))], ["part", "id"])
+            owner, token, rare = chunk_sets(w, k, _rarity(w.hash, *common))
+            n = np.bincount(owner, minlength=b - a)
+            owner, token = prefixes(owner, token, np.where(_among(token, last), LAST, np.minimum(rare, LAST - 1)), percent)
+            keys.append(token)
+            rows.append(a + owner)
+            sizes.append(n[owner])
+        at = pa.array(np.concatenate(rows))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(at), pa.array(np.concatenate(sizes))], ["key", "id", "n"])
+
+    return by_batch(texts.select("id", "text"), step, f"key long, id {kind}, n long")
 
-    return by_batch(docs, step, f"part long, id {kind}")
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 def _several(rows: DataFrame, key: str) -> DataFrame:
-    """The keys that more than one id has; least and greatest ids are taken before the shuffle."""
-    return rows.groupBy(key).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select(key)
+    """The keys of more than one row."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
+
+
+def _mixed(lists: DataFrame) -> DataFrame:
+    """The keys whose members are of several components; least and greatest are taken before the shuffle."""
+    return lists.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("key")
 
 
-def _mixed(postings: DataFrame, key: str, labels: DataFrame) -> DataFrame:
-    """(key, id, group, total) of the lists whose members are not all in one component."""
-    labelled = postings.select(key, "id").join(labels, "id", "left").select(key, "id", F.coalesce("component", "id").alias("group"))
-    mixed = labelled.groupBy(key).agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("total")).where("lo <> hi").select(key, "total")
-    return stored(labelled.join(mixed, key))
+def _some(df: DataFrame) -> bool:
+    return bool(df.limit(1).count())
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, common_words: int = COMMON_WORDS) -> DataFrame:
     """One row for each row: doc_id, n_shingles, component_id (least id that links reach)."""
+    with workspace(docs.sparkSession):
+        return stored(_link(docs, id_col, text_col, words, percent, common_words), outside=True)
+
+
+def _link(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, common_words: int) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    sets = stored(_sets(rows, words, kind))
-    # the least id of each set stands for its copies, and one id of several rows joins their sets
-    heads = sets.where(F.col("set_hash").isNotNull() & F.col("id").isNotNull()).groupBy("set_hash").agg(F.min("id").alias("head"))
-    members = stored(sets.select("id", "n", "set_hash").join(heads, "set_hash", "left"))
-    copies = members.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    first = members.where("id = head").groupBy("id").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"))
-    sizes = lambda a_min, a_max, b_min, b_max: (100 * F.col(a_max) >= percent * F.col(b_min)) & (100 * F.col(b_max) >= percent * F.col(a_min))
-
-    texts = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    # the least id of each text with words stands for its copies, and an id of several texts links them
+    digest = F.when(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.unhex(F.sha2("text", 256))).alias("digest")
+    members = stored(rows.select("id", digest))
+    held = members.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
+    heads = stored(held.groupBy("digest").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("rows")))
+    twice = held.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("id")
+    twice = stored(held.join(maybe_broadcast(stored(twice)), "id").join(heads, "digest").select("id", "head"))
+    bonds = stored(twice.join(twice.groupBy("id").agg(F.min("head").alias("b")), "id").select(F.col("head").alias("a"), "b").where("a <> b").distinct())
+    spare = stored(held.join(heads.where("rows > 1"), "digest").where("id <> head").select("id", "digest").distinct())
+    texts = rows.select("id", "text", digest).where(F.col("id").isNotNull() & F.col("digest").isNotNull()).join(maybe_broadcast(spare), ["id", "digest"], "left_anti")
+
     common = _common_words(rows, common_words)
-    tokens = lambda: _prefixes(texts, words, percent, common, kind)
-    postings = stored(tokens().join(_several(tokens(), "token"), "token"))
-    postings = postings.join(first, "id")
-    postings = stored(postings.join(_several(postings, "token"), "token"))  # where all rows but one were copies, one is left
-    compared = stored(_star(postings, "token", sizes))
-    edges = stored(_verified(stored(_possible(compared, sets, percent).distinct()), texts, words, percent).distinct())
-
-    open_lists = _mixed(postings, "token", components(edges))
-    found = _within(open_lists.where(F.col("total") <= LIST), "token", sets, percent)
-    # sets in longer lists are narrowed by parts, again with hubs first
-    crowd = stored(open_lists.where(F.col("total") > LIST).select("id").distinct())
-    if crowd.limit(1).count():
-        narrowed = stored(texts.join(maybe_broadcast(crowd), "id", "left_semi"))
-        part_rows = lambda: _parts(narrowed, words, percent, kind)
-        listed = stored(part_rows().join(_several(part_rows(), "part"), "part").distinct().join(first, "id"))
-        again = stored(_star(listed, "part", sizes).join(compared, ["a", "b"], "left_anti"))
-        edges = stored(edges.unionByName(_verified(stored(_possible(again, sets, percent).distinct()), narrowed, words, percent)).distinct())
-        compared = compared.unionByName(again)
-        found = found.unionByName(_within(_mixed(listed, "part", components(edges)), "part", sets, percent)).distinct()
-    rest = stored(found.join(compared, ["a", "b"], "left_anti"))
-    more = _verified(stored(_possible(rest, sets, percent).distinct()), texts, words, percent)
-    final = components(edges.unionByName(more).unionByName(copies))
-    return members.select("id", "n").join(final, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    sets = stored(_sets(texts, words, percent, common, kind))
+    firsts = sets.select(F.explode("firsts").alias("key"), "id", "n")
+    lists = stored(firsts.join(_several(firsts, "key"), "key").withColumn("group", F.col("id")))
+    compared = stored(_met(lists, stored(_hubs(lists, HUBS)), percent))
+    edges = stored(bonds.unionByName(_verified(stored(_possible(compared, sets, percent)), texts, words, percent)))
+    labels = components(edges)
+
+    def met(lists: DataFrame, hubs: DataFrame, texts: DataFrame) -> DataFrame:
+        """Compares lists with their hubs; gives what is still open of them."""
+        nonlocal compared, edges, labels
+        new = stored(_met(lists, hubs, percent).join(compared, ["a", "b"], "left_anti"))
+        compared = compared.unionByName(new)
+        more = stored(_verified(stored(_possible(new, sets, percent)), texts, words, percent))
+        if _some(more):
+            edges = stored(edges.unionByName(more))
+            labels = components(edges)
+        return _open(lists, labels, hubs)
+
+    labelled = sets.select("id", "n", "prefix").join(maybe_broadcast(labels), "id", "left")
+    tokens = labelled.select(F.explode("prefix").alias("key"), "id", "n", F.coalesce("component", "id").alias("group"))
+    lists = stored(tokens.join(_mixed(tokens), "key"))
+    hubs = stored(_hubs(lists, HUBS))
+    still = met(lists, hubs, texts)
+    last, number, left = np.zeros(0, np.uint64), HUBS, texts.select("id", "text")
+    while _some(still):
+        # members of lists that are still open, and they alone, meet under an order in which these lists' tokens come last
+        sizes = stored(still.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+        last = np.union1d(last, _most_common(sizes, "key", LAST_TOKENS)[0])
+        left = stored(left.join(maybe_broadcast(stored(still.select("id").distinct())), "id", "left_semi"))
+        lists = _open(stored(_listed(left, words, percent, common, last, kind)), labels)
+        number *= MORE
+        still = met(lists, stored(_hubs(lists, number)), left)
+    of_text = heads.join(labels.withColumnRenamed("id", "head"), "head", "left").select("digest", F.coalesce("component", "head").alias("component"))
+    told = members.where("digest is not null").join(sets.select("digest", "n").distinct(), "digest", "left").join(of_text, "digest", "left")
+    told = told.select("id", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+    # a row without words has its id's other rows to link it, if any
+    blank = members.where("digest is null").select("id")
+    other = told.join(blank.distinct(), "id", "left_semi").groupBy("id").agg(F.min("component").alias("component"))
+    empty = blank.join(other, "id", "left").select("id", F.lit(0).cast("long").alias("n"), F.coalesce("component", "id").alias("component"))
+    return told.unionByName(empty).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -432,7 +409,7 @@ def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     extra = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct())
     left = docs.join(extra, docs[id_col] == extra["__id"], "left_anti")
     again = stored(docs.select(F.col(id_col).alias("__id")).where("__id is not null").groupBy("__id").count().where("count > 1").select("__id"))
-    if not again.limit(1).count():
+    if not _some(again):
         return left
     same = left[id_col] == again["__id"]
     return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col]))

@@ -1,9 +1,12 @@
 """The pipeline, stage by stage, against plain forms on a small table."""
 
+from pathlib import Path
+
 import pyarrow.parquet as pq
+import pytest
 
 import corpus_pipeline
-from tessella.llm import langid, secret_scan
+from tessella.llm import common, jaccard, langid, secret_scan
 
 from . import brute
 
@@ -20,9 +23,11 @@ def test_stages(spark):
     rows = [r for r, x in zip(rows, gone) if not x]
     groups = brute.jaccard([(r["doc_id"], r["text"]) for r in rows])
     rows = [r for r, g in zip(rows, groups) if g[0] == g[2]]
-    dirty = {r[0] for r in brute.decontaminate([(r["doc_id"], r["text"]) for r in rows], bench) if r[5]}
+    passages = [(i, t) for i, t in bench if len(brute.MARKED.findall(t.lower())) >= 8]
+    dirty = {r[0] for r in brute.decontaminate([(r["doc_id"], r["text"]) for r in rows], passages) if r[3]}
+    assert dirty
     rows = [r for r in rows if r["doc_id"] not in dirty]
-    pair = secret_scan.train(*secret_scan.labelled_samples())
+    pair = secret_scan.fit(spark.createDataFrame([(r["text"],) for r in rows], "text string"))
     want = {r["doc_id"]: secret_scan.masked(r["text"], secret_scan.spans_of(r["text"], pair)[1], "[SECRET]") for r in rows}
 
     for _, stage in corpus_pipeline.STAGES[:-1]:
@@ -41,3 +46,28 @@ def test_stages_take_empty_and_odd_tables(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SMALL)
             docs.collect()
+
+
+def test_intermediate_tables_go_and_others_stay(spark):
+    top = Path(common.shared_dir(spark).removeprefix("file:"))
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(40)
+    linked = jaccard.link(docs)
+    before = {p.name for p in top.iterdir()}
+    with common.workspace(spark) as path:
+        inner, outer = common.stored(docs.select("doc_id")), common.stored(docs.select("doc_id"), outside=True)
+        assert inner.count() == outer.count() == 40 and Path(path.removeprefix("file:")).is_dir()
+    assert not Path(path.removeprefix("file:")).exists() and outer.count() == 40 and linked.count() == 40
+    assert len({p.name for p in top.iterdir()} - before) == 1
+
+
+def test_a_cluster_names_its_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://head:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
