@@ -32,7 +32,7 @@ from .urls import host_of
 
 LONG = 8
 #: Bytes of html of one group, about.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 #: Least number of a host's pages that a substring is on to be boilerplate.
 MOST_PAGES = 10
 #: Pages of one task, about.
@@ -197,7 +197,7 @@ def unpacked(page: str) -> list[tuple[str, str]]:
 
 
 def texts_of(parsed: list[list[tuple[str, str]]], long: int = LONG, elsewhere: np.ndarray | None = None, boiler: np.ndarray | None = None) -> tuple[list[tuple[str, int]], np.ndarray]:
-    """From the blocks of pages: main text of each, and how many of its tokens other pages repeat. Then hashes of the windows that are on half of the pages given.
+    """From the blocks of pages: main text of each, and how many of its tokens other pages repeat. Then hashes of the windows that are on half of the pages given and reach into what markup keeps.
 
     elsewhere has hashes of windows that pages which are not given here share with those given, or among each other; boiler has those of windows on half
     of the host's pages, which the pages given tell themselves if they are all.
@@ -214,8 +214,11 @@ def texts_of(parsed: list[list[tuple[str, str]]], long: int = LONG, elsewhere: n
     out, heavy = [], [np.zeros(0, np.uint64)]
     for blocks, n in zip(parsed, counts, strict=True):
         most = np.flatnonzero(2 * n >= max(pages, 2))
-        if len(most):
-            heavy.append(np.unique(_windows(blocks, long)[0][most]))
+        # only those that reach into a kept block can take one
+        held = np.concatenate([[0], np.cumsum(np.repeat([k == "kept" for k, _ in blocks], [len(t.split(" ")) + 1 for _, t in blocks]))]) if blocks else np.zeros(1, np.int64)
+        reach = most[held[np.minimum(most + long, len(n))] > held[most]]
+        if len(reach):
+            heavy.append(np.unique(_windows(blocks, long)[0][reach]))
         if boiler is None:
             most = most[n[most] >= MOST_PAGES]
         inside = covered(np.flatnonzero(n > 1), len(n), long)
