@@ -93,6 +93,18 @@ def sampled(df: DataFrame, most: int) -> DataFrame:
     return near.dropDuplicates(["rank"]).orderBy(place, "rank").limit(most)
 
 
+def commonest(counted: DataFrame, most: int) -> DataFrame:
+    """The rows of the largest n, no more than so many. A cutoff from counts of counts sees to that, so that no task gives the driver more than they are."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    room, cutoff = most, 1 << 20
+    for r in sorted(counted.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        cutoff = r["step"]
+    return counted.where(step >= cutoff)
+
+
 def trim() -> None:
     """Gives freed memory back at a task's end: workers live on, and what each keeps adds to its executor's."""
     pa.default_memory_pool().release_unused()

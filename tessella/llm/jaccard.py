@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, by_batch, chunks, grams, maybe_broadcast, mix, raw, stored, workspace
+from .common import Words, by_batch, chunks, commonest, grams, maybe_broadcast, mix, raw, stored, workspace
 from .graph import components
 
 WORDS, PERCENT = 5, 80
@@ -137,15 +137,8 @@ def _common_words(docs: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _most_common(counted: DataFrame, key: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of the largest n, sorted, and their n: no more than the limit come to the driver, which a cutoff from counts of counts sees to."""
-    step = F.floor(F.log2("n") * 8).cast("int")
-    room, cutoff = limit, 1 << 20
-    for r in sorted(counted.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
-        room -= r["count"]
-        if room < 0:
-            break
-        cutoff = r["step"]
-    top = counted.where(step >= cutoff).select(key, "n").toPandas()
+    """The keys of the largest n, sorted, and their n: no more than the limit."""
+    top = commonest(counted, limit).select(key, "n").toPandas()
     hashes = top[key].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], top["n"].to_numpy(np.float64)[order]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch
+from .common import by_batch, commonest, stored
 
 #: Rules of the query: (host, path, verdict).
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -165,10 +165,10 @@ def built_in(words: Mapping[str, float] | None = None) -> UrlModel:
 
 
 def word_counts(df: DataFrame, text_col: str = "text", most: int = LEXICON) -> dict[str, int]:
-    """The commonest runs of ASCII letters of all whole texts, lower-cased, and how often each occurs; at most so many come to the driver."""
+    """The commonest runs of ASCII letters of all whole texts, lower-cased, and how often each occurs, twice at least; at most so many come to the driver."""
     each = F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit(r"(?<![\p{L}\p{N}])[a-z]{2,%d}(?![\p{L}\p{N}])" % LETTERS), F.lit(0)))
     counted = df.select(each.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return {r["word"]: r["n"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()}
+    return {r["word"]: r["n"] for r in commonest(stored(counted.where("n > 1")), most).collect()}
 
 
 def fit(texts: DataFrame, text_col: str = "text") -> UrlModel:
