@@ -169,20 +169,22 @@ def _shards(segments: DataFrame, window: int, most: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        windows = 0  # of held; summed up again for each anchor, they took a third of the time
         now: list[tuple] = []
 
         def settled() -> list[tuple[int, int, int, int]]:
-            nonlocal held, now
+            nonlocal held, windows, now
             out = []
             if now and _one_phrase(now, window):  # the first place stays
                 least = min((r[1], r[3]) for r in now)
                 out = [(r[1], r[2], r[3], r[3] + r[4] + window - 1) for r in now if (r[1], r[3]) != least]
             else:
                 held += now
+                windows += sum(r[4] for r in now)
             now = []
-            if len(held) >= most or sum(r[4] for r in held) >= ANCHOR_WINDOWS:
+            if len(held) >= most or windows >= ANCHOR_WINDOWS:
                 out += repeats_of(held, window)
-                held = []
+                held, windows = [], 0
             return out
 
         for batch in batches:

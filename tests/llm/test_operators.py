@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
@@ -63,6 +64,30 @@ def test_dedup_table(spark):
     assert got(queries.op7_substring_dedup(spark, SMALL), *names) == want
 
 
+def test_shards_count_their_windows_once(monkeypatch):
+    """What an automaton holds is not summed up again for each anchor that joins it."""
+    summed = []
+
+    def counted(values):
+        values = list(values)
+        summed.append(len(values))
+        return sum(values)
+
+    class Rows:
+        """A frame whose mapInArrow gives the function."""
+
+        def __getattr__(self, _):
+            return lambda *a: a[0] if callable(a[0]) else self
+
+    monkeypatch.setattr(substring, "sum", counted, raising=False)
+    phrase = lambda i, j: " ".join(f"{j if k == 3 else ''}w{i}_{k}" for k in range(24)).encode()
+    rows = [(i, 2 * i + j, 7, 0, 5, phrase(i, j)) for i in range(300) for j in range(2)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("anchor", "id", "row", "first", "n", "words"), r, strict=True)) for r in rows])
+    found = [tuple(r.values()) for b in substring._shards(Rows(), 20, 4000)(iter([batch])) for r in b.to_pylist()]
+    assert sorted(found) == [(2 * i + 1, 7, 4, 24) for i in range(300)]
+    assert sum(summed) <= 2 * len(rows)
+
+
 def test_jaccard_odd_rows(spark, odd):
     assert got(jaccard.link(wide(spark, odd)), "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard(odd), key=repr)
 
