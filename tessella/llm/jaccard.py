@@ -12,10 +12,10 @@ them only, and those found alike make up a component. That is first done with th
 most sets that link share, so that most copies are in one component before the whole prefixes are listed. Of the lists of prefix tokens, only
 those of several components are then made. The hubs leave a list, as they have met all of it. Lists that still
 hold several components are of sets that share much but do not link, such as texts made from one by many changes. Their members, and
-they alone, are listed anew under a further order, in which the tokens of such lists come last, so that what a text has of its own counts more; again with
+they alone, are listed anew by prefixes of their differences from a pivot (see _apart), in which what they share does not occur; again with
 hubs, MORE times as many each time, until every list is of one component or used up.
 So a list is never compared with itself, a group of copies costs comparisons in proportion to its members, and yet any two sets that
-could link are compared or known to be in one component: under each order they share a list, and as long as that stays open, both are listed under the next.
+could link are compared or known to be in one component: they share a list, and as long as that stays open, both are listed by differences, and share one again.
 
 Null texts and texts without words have an empty set and link with nothing. Rows that repeat an id
 link with each other through the id. A null id takes part as a document whose component is null. An empty table gives an empty
@@ -83,8 +83,8 @@ def prefixes(owner: np.ndarray, token: np.ndarray, rare: np.ndarray, percent: in
     return owner[first], token[first]
 
 
-#: The place of the tokens that come last, and most tokens that are given it, those of the longest lists first.
-LAST, LAST_TOKENS = 31, 1 << 18
+#: The last place that a token's rarity can have.
+LAST = 31
 
 
 def _rarity(words: np.ndarray, hashes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -290,33 +290,62 @@ def _open(lists: DataFrame, labels: DataFrame, hubs: DataFrame | None = None) ->
     return stored(labelled.join(_mixed(labelled), "key"))
 
 
-def _listed(texts: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np.ndarray], last: np.ndarray, kind: str) -> DataFrame:
-    """(key, id, n) for each prefix token of each set under the first order, but that some tokens, given sorted, come last."""
-    shared = texts.sparkSession.sparkContext.broadcast((common, last))
+def differing(token: np.ndarray, pivot: np.ndarray) -> np.ndarray:
+    """The tokens that one of two sets of distinct tokens has and the other has not."""
+    return np.setxor1d(token, pivot, assume_unique=True)
+
+
+def _tokens(text: bytes, k: int) -> np.ndarray:
+    return np.unique(shingles(Words([text], lower=True).hash, k))
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        common, last = shared.value
-        keys, rows, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        texts = raw(batch.column(1))
-        for a, b in chunks(texts):
-            w = Words(texts[a:b], lower=True)
-            owner, token, rare = chunk_sets(w, k, _rarity(w.hash, *common))
-            n = np.bincount(owner, minlength=b - a)
-            owner, token = prefixes(owner, token, np.where(_among(token, last), LAST, np.minimum(rare, LAST - 1)), percent)
-            keys.append(token)
-            rows.append(a + owner)
-            sizes.append(n[owner])
-        at = pa.array(np.concatenate(rows))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(at), pa.array(np.concatenate(sizes))], ["key", "id", "n"])
 
-    return by_batch(texts.select("id", "text"), step, f"key long, id {kind}, n long")
+def _lists_of(sets: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
 
 
-def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which values are in a sorted array."""
-    if not len(known):
-        return np.zeros(len(values), bool)
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+def _apart(still: DataFrame, texts: DataFrame, k: int, percent: int, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(key, id, n) lists and (a, b) pairs in which all members of a list of still that could link meet again, by their differences from a pivot.
+
+    Lists that share members make up a cluster; its pivot is the set of the tokens that more than half of its members have. Where sets of n and m tokens differ from it in e and f of
+    them, they differ from each other in e + f less twice what the differences share. Those that link differ in (n + m) * (100 - percent) / (100 + percent) tokens
+    at most, so with over = (100 + percent) * e - (100 - percent) * n the differences share (over + other's over) / (2 * (100 + percent)) at least. Where that is not above 0, the
+    two link for certain, and both with the set of the least over: these are the pairs. All others share a token of the prefixes of their differences, the rarest of the cluster first.
+    What most of a cluster have is in few differences, so texts made from one by many changes of their own share few lists. Those that lack the same tokens
+    of it still share lists, so that the number of comparisons can grow faster than a group, if less than before.
+    """
+    near = still.join(still.groupBy("key").agg(F.min("id").alias("b")), "key").select(F.col("id").alias("a"), "b").distinct()
+    cluster = stored(components(stored(near)).withColumnRenamed("component", "cluster"))
+    rows = texts.join(maybe_broadcast(cluster), "id").select("id", "digest", "cluster", "text")
+
+    def all_tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [_tokens(t, k) for t in raw(batch.column(3))]
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], _lists_of(sets)], ["id", "digest", "cluster", "tokens"])
+
+    sets = stored(by_batch(rows, all_tokens, f"id {kind}, digest binary, cluster {kind}, tokens array<long>"))
+    half = stored(sets.groupBy("cluster").agg((F.count(F.lit(1)) / 2).alias("half")))
+    held = sets.select("cluster", F.explode("tokens").alias("token")).groupBy("cluster", "token").agg(F.count(F.lit(1)).alias("rows"))
+    base = stored(held.join(maybe_broadcast(half), "cluster").where("rows > half").groupBy("cluster").agg(F.collect_list("token").alias("base")))
+    both = sets.join(base, "cluster", "left").select("id", "digest", "cluster", F.xxhash64("cluster").alias("seed"), "tokens", "base")
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, n = [], []
+        for seed, own, base in zip(batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+            own, base = (np.zeros(0, np.uint64) if x.values is None else x.values.to_numpy().view(np.uint64) for x in (own, base))
+            n.append(len(own))
+            keys.append(mix(differing(own, base) + np.uint64(seed % (1 << 64))))
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), _lists_of(keys)], ["id", "digest", "cluster", "n", "keys"])
+
+    sets = by_batch(both, step, f"id {kind}, digest binary, cluster {kind}, n long, keys array<long>")
+    sets = stored(sets.withColumn("over", (100 + percent) * F.size("keys").cast("long") - (100 - percent) * F.col("n")))
+    least = stored(sets.groupBy("cluster").agg(F.min(F.struct("over", "id")).alias("least")))
+    sets = sets.join(maybe_broadcast(least), "cluster").withColumn("sum", F.col("over") + F.col("least.over"))
+    sure = sets.where("sum <= 0 and id <> least.id").select(F.greatest("id", "least.id").alias("a"), F.least("id", "least.id").alias("b")).distinct()
+    each = sets.select("id", "digest", "n", F.greatest(F.lit(1), F.ceil(F.col("sum") / (2 * (100 + percent)))).alias("share"), F.explode("keys").alias("key"))
+    counts = stored(each.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    # tokens of one set alone come first and make no list
+    own = Window.partitionBy("id", "digest")
+    placed = each.join(maybe_broadcast(counts), "key").withColumns({"place": F.row_number().over(own.orderBy("rows", "key")), "common": F.count(F.lit(1)).over(own)})
+    return stored(placed.where("place <= common - share + 1").select("key", "id", "n")), stored(sure)
 
 
 def _several(rows: DataFrame, key: str) -> DataFrame:
@@ -361,10 +390,11 @@ def _link(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int,
     edges = stored(bonds.unionByName(_verified(stored(_possible(compared, sets, percent)), texts, words, percent)))
     labels = components(edges)
 
-    def met(lists: DataFrame, hubs: DataFrame, texts: DataFrame) -> DataFrame:
-        """Compares lists with their hubs; gives what is still open of them."""
+    def met(lists: DataFrame, hubs: DataFrame, texts: DataFrame, sure: DataFrame | None = None) -> DataFrame:
+        """Compares lists with their hubs, and the pairs that are sure to link; gives what is still open of the lists."""
         nonlocal compared, edges, labels
-        new = stored(_met(lists, hubs, percent).join(compared, ["a", "b"], "left_anti"))
+        pairs = _met(lists, hubs, percent)
+        new = stored((pairs.unionByName(sure).distinct() if sure is not None else pairs).join(compared, ["a", "b"], "left_anti"))
         compared = compared.unionByName(new)
         more = stored(_verified(stored(_possible(new, sets, percent)), texts, words, percent))
         if _some(more):
@@ -377,15 +407,14 @@ def _link(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int,
     lists = stored(tokens.join(_mixed(tokens), "key"))
     hubs = stored(_hubs(lists, HUBS))
     still = met(lists, hubs, texts)
-    last, number, left = np.zeros(0, np.uint64), HUBS, texts.select("id", "text")
+    number, left = HUBS, texts
     while _some(still):
-        # members of lists that are still open, and they alone, meet under an order in which these lists' tokens come last
-        sizes = stored(still.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
-        last = np.union1d(last, _most_common(sizes, "key", LAST_TOKENS)[0])
+        # members of lists that are still open, and they alone, meet by what they have and lack of a pivot's tokens
         left = stored(left.join(maybe_broadcast(stored(still.select("id").distinct())), "id", "left_semi"))
-        lists = _open(stored(_listed(left, words, percent, common, last, kind)), labels)
+        listed, sure = _apart(still, left, words, percent, kind)
+        lists = _open(listed, labels)
         number *= MORE
-        still = met(lists, stored(_hubs(lists, number)), left)
+        still = met(lists, stored(_hubs(lists, number)), left, sure)
     of_text = heads.join(labels.withColumnRenamed("id", "head"), "head", "left").select("digest", F.coalesce("component", "head").alias("component"))
     told = members.where("digest is not null").join(sets.select("digest", "n").distinct(), "digest", "left").join(of_text, "digest", "left")
     told = told.select("id", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))

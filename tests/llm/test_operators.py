@@ -118,6 +118,20 @@ def test_jaccard_long_lists(spark, odd, monkeypatch):
     assert got(jaccard.link(wide(spark, rows)), "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard(rows), key=repr)
 
 
+def test_jaccard_changed_copies_meet_by_their_changes(spark, monkeypatch):
+    """Texts made from one by changes of their own, too many to link, are not compared pair by pair; those that share their changes link."""
+    asked, possible = [], jaccard._possible
+    monkeypatch.setattr(jaccard, "_possible", lambda pairs, *a: asked.append(pairs.count()) or possible(pairs, *a))
+    changed = lambda i, at: " ".join(f"x{i}_{j}" if j in at else f"w{j}" for j in range(300))
+    rng = random.Random(4)
+    rows = [(i, changed(i, set(rng.sample(range(300), 8)))) for i in range(60)]
+    rows += [(100 + i, text.replace("w150", "z").replace("w7 ", "y ")) for i, text in rows[:5]]
+    want = sorted(brute.jaccard(rows), key=repr)
+    assert len({r[2] for r in want}) == 60
+    assert got(jaccard.link(wide(spark, rows)), "doc_id", "n_shingles", "component_id") == want
+    assert sum(asked) < 65 * 64 / 4
+
+
 def test_jaccard_words_are_compared():
     """Words are those of the pattern, with A-Z lower-cased, as the hashes see them too."""
     text = "A\x1fb\x0bC É\u00a0x\x85 d\x0ce\r\n f"
