@@ -12,10 +12,10 @@ them only, and those found alike make up a component. That is first done with th
 most sets that link share, so that most copies are in one component before the whole prefixes are listed. Of the lists of prefix tokens, only
 those of several components are then made. The hubs leave a list, as they have met all of it. Lists that still
 hold several components are of sets that share much but do not link, such as texts made from one by many changes. Their members, and
-they alone, are listed anew by prefixes of their differences from a pivot (see _apart), in which what they share does not occur; again with
-hubs, MORE times as many each time, until every list is of one component or used up.
+they alone, are listed anew under a further order, in which the tokens of such lists come last, and those of lists that are open even then by prefixes of their
+differences from a pivot (see _apart), in which what most of them share does not occur; again with hubs, in the end MORE times as many each time, until every list is of one component or used up.
 So a list is never compared with itself, a group of copies costs comparisons in proportion to its members, and yet any two sets that
-could link are compared or known to be in one component: they share a list, and as long as that stays open, both are listed by differences, and share one again.
+could link are compared or known to be in one component: they share a list, and as long as that stays open, both are listed anew, and share one again.
 
 Null texts and texts without words have an empty set and link with nothing. Rows that repeat an id
 link with each other through the id. A null id takes part as a document whose component is null. An empty table gives an empty
@@ -83,8 +83,8 @@ def prefixes(owner: np.ndarray, token: np.ndarray, rare: np.ndarray, percent: in
     return owner[first], token[first]
 
 
-#: The last place that a token's rarity can have.
-LAST = 31
+#: The place of the tokens that come last, and most tokens that are given it, those of the longest lists first.
+LAST, LAST_TOKENS = 31, 1 << 18
 
 
 def _rarity(words: np.ndarray, hashes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -290,6 +290,35 @@ def _open(lists: DataFrame, labels: DataFrame, hubs: DataFrame | None = None) ->
     return stored(labelled.join(_mixed(labelled), "key"))
 
 
+def _listed(texts: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np.ndarray], last: np.ndarray, kind: str) -> DataFrame:
+    """(key, id, n) for each prefix token of each set under the first order, but that some tokens, given sorted, come last."""
+    shared = texts.sparkSession.sparkContext.broadcast((common, last))
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        common, last = shared.value
+        keys, rows, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        texts = raw(batch.column(1))
+        for a, b in chunks(texts):
+            w = Words(texts[a:b], lower=True)
+            owner, token, rare = chunk_sets(w, k, _rarity(w.hash, *common))
+            n = np.bincount(owner, minlength=b - a)
+            owner, token = prefixes(owner, token, np.where(_among(token, last), LAST, np.minimum(rare, LAST - 1)), percent)
+            keys.append(token)
+            rows.append(a + owner)
+            sizes.append(n[owner])
+        at = pa.array(np.concatenate(rows))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(at), pa.array(np.concatenate(sizes))], ["key", "id", "n"])
+
+    return by_batch(texts.select("id", "text"), step, f"key long, id {kind}, n long")
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def differing(token: np.ndarray, pivot: np.ndarray) -> np.ndarray:
     """The tokens that one of two sets of distinct tokens has and the other has not."""
     return np.setxor1d(token, pivot, assume_unique=True)
@@ -407,14 +436,19 @@ def _link(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int,
     lists = stored(tokens.join(_mixed(tokens), "key"))
     hubs = stored(_hubs(lists, HUBS))
     still = met(lists, hubs, texts)
-    number, left = HUBS, texts
+    number, left, round_ = HUBS * MORE, texts, 0
     while _some(still):
-        # members of lists that are still open, and they alone, meet by what they have and lack of a pivot's tokens
+        # members of lists that are still open, and they alone, meet: first under an order in which these lists' tokens come last, which
+        # takes the least room, then by what they have and lack of a common set
         left = stored(left.join(maybe_broadcast(stored(still.select("id").distinct())), "id", "left_semi"))
-        listed, sure = _apart(still, left, words, percent, kind)
+        if round_ == 0:
+            last = _most_common(stored(still.groupBy("key").agg(F.count(F.lit(1)).alias("n"))), "key", LAST_TOKENS)[0]
+            listed, sure = stored(_listed(left, words, percent, common, last, kind)), None
+        else:
+            listed, sure = _apart(still, left, words, percent, kind)
         lists = _open(listed, labels)
-        number *= MORE
         still = met(lists, stored(_hubs(lists, number)), left, sure)
+        number, round_ = number * MORE if round_ else number, round_ + 1
     of_text = heads.join(labels.withColumnRenamed("id", "head"), "head", "left").select("digest", F.coalesce("component", "head").alias("component"))
     told = members.where("digest is not null").join(sets.select("digest", "n").distinct(), "digest", "left").join(of_text, "digest", "left")
     told = told.select("id", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))

@@ -124,12 +124,12 @@ def test_jaccard_changed_copies_meet_by_their_changes(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_possible", lambda pairs, *a: asked.append(pairs.count()) or possible(pairs, *a))
     changed = lambda i, at: " ".join(f"x{i}_{j}" if j in at else f"w{j}" for j in range(300))
     rng = random.Random(4)
-    rows = [(i, changed(i, set(rng.sample(range(300), 8)))) for i in range(60)]
-    rows += [(100 + i, text.replace("w150", "z").replace("w7 ", "y ")) for i, text in rows[:5]]
+    rows = [(i, changed(i, set(rng.sample(range(300), 8)))) for i in range(120)]
+    rows += [(200 + i, text.replace("w150", "z").replace("w7 ", "y ")) for i, text in rows[:5]]
     want = sorted(brute.jaccard(rows), key=repr)
-    assert len({r[2] for r in want}) == 60
+    assert len({r[2] for r in want}) == 120
     assert got(jaccard.link(wide(spark, rows)), "doc_id", "n_shingles", "component_id") == want
-    assert sum(asked) < 65 * 64 / 4
+    assert sum(asked[3:]) < 125 * 124 / 2 / 4, asked  # once the lists of the second order are met
 
 
 def test_jaccard_words_are_compared():
