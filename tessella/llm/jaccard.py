@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, by_batch, chunks, commonest, grams, maybe_broadcast, mix, raw, stored, workspace
+from .common import BROADCAST_ROWS, Words, by_batch, chunks, commonest, grams, maybe_broadcast, mix, raw, stored, workspace
 from .graph import components
 
 WORDS, PERCENT = 5, 80
@@ -270,24 +270,33 @@ HUBS, MORE = 4, 4
 
 
 def _hubs(lists: DataFrame, hubs: int) -> DataFrame:
-    """(key, hub, hub_n, hub_group): so many members of each list, the first by hash of the id, so that lists of the same members have the same hubs. Cut before the shuffle."""
+    """(key, hub, hub_n, hub_group, and the hub's bounds, if lists have them): so many members of each list, the first by hash of the id, so that lists of the same members have the same hubs. Cut before the shuffle."""
     first = lists.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("id"), "id", "n"))).where(F.col("place") <= hubs)
-    return first.select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("group").alias("hub_group"))
+    return first.select("key", F.col("id").alias("hub"), *(F.col(c).alias(f"hub_{c}") for c in ("n", "group", *_bounds(lists))))
+
+
+def _bounds(lists: DataFrame) -> list[str]:
+    """The columns of lists of differences that bound what two members share of them."""
+    return [c for c in ("over", "common") if c in lists.columns]
 
 
 def _met(lists: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
-    """(a, b) pairs of each list's members with its hubs of other components, if their sizes allow a link."""
-    met = lists.join(hubs, "key").where((F.col("group") != F.col("hub_group")) & _sizes_allow("n", "hub_n", percent))
+    """(a, b) pairs of each list's members with its hubs of other components, if their sizes, and the bounds of their differences, allow a link."""
+    allowed = (F.col("group") != F.col("hub_group")) & _sizes_allow("n", "hub_n", percent)
+    if _bounds(lists):
+        allowed &= F.col("over") + F.col("hub_over") <= 2 * (100 + percent) * F.least("common", "hub_common")
+    met = lists.join(hubs, "key").where(allowed)
     return met.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
 
 
 def _open(lists: DataFrame, labels: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
-    """(key, id, n, group) of the lists that still have members of several components, hubs taken out, which have met all others."""
-    left = lists.select("key", "id", "n")
+    """(key, id, n, bounds, group) of the lists that still have members of several components, hubs taken out, which have met all others."""
+    own = ["key", "id", "n", *_bounds(lists)]
+    left = lists.select(own)
     if hubs is not None:
         left = left.join(hubs.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
-    labelled = left.join(_several(left, "key"), "key").join(maybe_broadcast(labels), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("group"))
-    return stored(labelled.join(_mixed(labelled), "key"))
+    labelled = left.join(maybe_broadcast(labels), "id", "left").select(*own, F.coalesce("component", "id").alias("group"))
+    return _of_mixed(labelled)
 
 
 def _listed(texts: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np.ndarray], last: np.ndarray, kind: str) -> DataFrame:
@@ -333,14 +342,16 @@ def _lists_of(sets: list[np.ndarray]) -> pa.ListArray:
 
 
 def _apart(still: DataFrame, texts: DataFrame, k: int, percent: int, kind: str) -> tuple[DataFrame, DataFrame]:
-    """(key, id, n) lists and (a, b) pairs in which all members of a list of still that could link meet again, by their differences from a pivot.
+    """(key, id, n, over, common) lists and (a, b) pairs in which all members of a list of still that could link meet again, by their differences from a pivot.
 
     Lists that share members make up a cluster; its pivot is the set of the tokens that more than half of its members have. Where sets of n and m tokens differ from it in e and f of
     them, they differ from each other in e + f less twice what the differences share. Those that link differ in (n + m) * (100 - percent) / (100 + percent) tokens
     at most, so with over = (100 + percent) * e - (100 - percent) * n the differences share (over + other's over) / (2 * (100 + percent)) at least. Where that is not above 0, the
     two link for certain, and both with the set of the least over: these are the pairs. All others share a token of the prefixes of their differences, the rarest of the cluster first.
-    What most of a cluster have is in few differences, so texts made from one by many changes of their own share few lists. Those that lack the same tokens
-    of it still share lists, so that the number of comparisons can grow faster than a group, if less than before.
+    Only common differences, those of several members, can be shared, so f is what the two share and the other's alone at least, which gives
+    (over + (100 + percent) * alone - (100 - percent) * m) / (100 + percent) as a second bound. A member whose common differences are fewer than its bounds links with none and is in no list,
+    and members of a list meet only if the common differences of both allow what that pair has to share.
+    What most of a cluster have is in few differences, so texts made from one by many changes of their own share few lists, and those far from it, which only lack the same tokens, none.
     """
     near = still.join(still.groupBy("key").agg(F.min("id").alias("b")), "key").select(F.col("id").alias("a"), "b").distinct()
     cluster = stored(components(stored(near)).withColumnRenamed("component", "cluster"))
@@ -366,15 +377,21 @@ def _apart(still: DataFrame, texts: DataFrame, k: int, percent: int, kind: str)
 
     sets = by_batch(both, step, f"id {kind}, digest binary, cluster {kind}, n long, keys array<long>")
     sets = stored(sets.withColumn("over", (100 + percent) * F.size("keys").cast("long") - (100 - percent) * F.col("n")))
-    least = stored(sets.groupBy("cluster").agg(F.min(F.struct("over", "id")).alias("least")))
-    sets = sets.join(maybe_broadcast(least), "cluster").withColumn("sum", F.col("over") + F.col("least.over"))
-    sure = sets.where("sum <= 0 and id <> least.id").select(F.greatest("id", "least.id").alias("a"), F.least("id", "least.id").alias("b")).distinct()
-    each = sets.select("id", "digest", "n", F.greatest(F.lit(1), F.ceil(F.col("sum") / (2 * (100 + percent)))).alias("share"), F.explode("keys").alias("key"))
+    # tokens of one set alone make no list
+    each = sets.select("id", "digest", F.explode("keys").alias("key"))
     counts = stored(each.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
-    # tokens of one set alone come first and make no list
+    each = stored(each.join(maybe_broadcast(counts), "key"))
+    common = each.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("common"))
+    sets = sets.select("id", "digest", "cluster", "n", "over", F.size("keys").cast("long").alias("e")).distinct().join(common, ["id", "digest"], "left")
+    sets = stored(sets.withColumn("common", F.coalesce("common", F.lit(0))).withColumn("alone", (100 + percent) * F.greatest(F.col("e") - F.col("common"), F.lit(0)) - (100 - percent) * F.col("n")))
+    least = stored(sets.groupBy("cluster").agg(F.min(F.struct("over", "id")).alias("least"), F.min("alone").alias("least_alone")))
+    sets = stored(sets.join(maybe_broadcast(least), "cluster").withColumn("sum", F.col("over") + F.col("least.over")))
+    sure = sets.where("sum <= 0 and id <> least.id").select(F.greatest("id", "least.id").alias("a"), F.least("id", "least.id").alias("b")).distinct()
+    share = F.greatest(F.lit(1), F.ceil(F.col("sum") / (2 * (100 + percent))), F.ceil((F.col("over") + F.col("least_alone")) / (100 + percent)))
+    able = stored(sets.withColumn("share", share).where("common >= share").select("id", "digest", "n", "over", "common", "share"))
     own = Window.partitionBy("id", "digest")
-    placed = each.join(maybe_broadcast(counts), "key").withColumns({"place": F.row_number().over(own.orderBy("rows", "key")), "common": F.count(F.lit(1)).over(own)})
-    return stored(placed.where("place <= common - share + 1").select("key", "id", "n")), stored(sure)
+    placed = each.join(maybe_broadcast(able), ["id", "digest"]).withColumn("place", F.row_number().over(own.orderBy("rows", "key")))
+    return stored(placed.where("place <= common - share + 1").select("key", "id", "n", "over", "common")), stored(sure)
 
 
 def _several(rows: DataFrame, key: str) -> DataFrame:
@@ -387,6 +404,23 @@ def _mixed(lists: DataFrame) -> DataFrame:
     return lists.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("key")
 
 
+#: Bits of the table that drops, before a shuffle, most rows whose key is not asked for.
+BITS = 1 << 24
+
+
+def _of_mixed(lists: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of the keys whose members are of several components. Most keys are of one row; where those asked for are too many to broadcast, bits of them drop most other rows before the shuffle."""
+    keys = stored(_mixed(lists))
+    n = keys.count()
+    if n > most and n <= BITS:
+        place = F.xxhash64("key").bitwiseAND(F.lit(BITS - 1))
+        # of the low 24 bits of a hash 18 name a row of the table and 6 a bit in it
+        row, bit = F.shiftright(place, 6).alias("row"), F.expr("shiftleft(1L, cast(xxhash64(key) & 63 as int))")
+        bits = stored(keys.select(row, bit.alias("bit")).groupBy("row").agg(F.bit_or("bit").alias("bits")))
+        lists = lists.withColumn("row", row).join(F.broadcast(bits), "row").where(F.col("bits").bitwiseAND(bit) != 0).drop("row", "bits")
+    return stored(lists.join(F.broadcast(keys) if n <= most else keys, "key"))
+
+
 def _some(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
 
@@ -419,7 +453,7 @@ def _link(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int,
     edges = stored(bonds.unionByName(_verified(stored(_possible(compared, sets, percent)), texts, words, percent)))
     labels = components(edges)
 
-    def met(lists: DataFrame, hubs: DataFrame, texts: DataFrame, sure: DataFrame | None = None) -> DataFrame:
+    def met(lists: DataFrame, hubs: DataFrame, sure: DataFrame | None = None) -> DataFrame:
         """Compares lists with their hubs, and the pairs that are sure to link; gives what is still open of the lists."""
         nonlocal compared, edges, labels
         pairs = _met(lists, hubs, percent)
@@ -433,21 +467,21 @@ def _link(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int,
 
     labelled = sets.select("id", "n", "prefix").join(maybe_broadcast(labels), "id", "left")
     tokens = labelled.select(F.explode("prefix").alias("key"), "id", "n", F.coalesce("component", "id").alias("group"))
-    lists = stored(tokens.join(_mixed(tokens), "key"))
+    lists = _of_mixed(tokens)
     hubs = stored(_hubs(lists, HUBS))
-    still = met(lists, hubs, texts)
-    number, left, round_ = HUBS * MORE, texts, 0
+    still = met(lists, hubs)
+    number, round_ = HUBS * MORE, 0
     while _some(still):
         # members of lists that are still open, and they alone, meet: first under an order in which these lists' tokens come last, which
         # takes the least room, then by what they have and lack of a common set
-        left = stored(left.join(maybe_broadcast(stored(still.select("id").distinct())), "id", "left_semi"))
+        left = texts.join(maybe_broadcast(stored(still.select("id").distinct())), "id", "left_semi")
         if round_ == 0:
             last = _most_common(stored(still.groupBy("key").agg(F.count(F.lit(1)).alias("n"))), "key", LAST_TOKENS)[0]
             listed, sure = stored(_listed(left, words, percent, common, last, kind)), None
         else:
             listed, sure = _apart(still, left, words, percent, kind)
         lists = _open(listed, labels)
-        still = met(lists, stored(_hubs(lists, number)), left, sure)
+        still = met(lists, stored(_hubs(lists, number)), sure)
         number, round_ = number * MORE if round_ else number, round_ + 1
     of_text = heads.join(labels.withColumnRenamed("id", "head"), "head", "left").select("digest", F.coalesce("component", "head").alias("component"))
     told = members.where("digest is not null").join(sets.select("digest", "n").distinct(), "digest", "left").join(of_text, "digest", "left")

@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tessella.llm import ann, bpe, chat, decontam, html_text, jaccard, langid, queries, secret_scan, substring, urls
+from tessella.llm import ann, bpe, chat, decontam, graph, html_text, jaccard, langid, queries, secret_scan, substring, urls
 
 from . import brute
 
@@ -132,6 +132,38 @@ def test_jaccard_changed_copies_meet_by_their_changes(spark, monkeypatch):
     assert sum(asked[3:]) < 125 * 124 / 2 / 4, asked  # once the lists of the second order are met
 
 
+def test_jaccard_copies_far_from_a_common_text_do_not_meet(spark, monkeypatch):
+    """Texts far from the one that all were made from lack the same words of it, and meet only if what they share allows a link."""
+    asked, possible = [], jaccard._possible
+    monkeypatch.setattr(jaccard, "_possible", lambda pairs, *a: asked.append(pairs.count()) or possible(pairs, *a))
+    changed = lambda i, at: " ".join(f"x{i}_{j}" if j in at else f"w{j}" for j in range(200))
+    rng = random.Random(6)
+    rows = [(i, changed(i, set(rng.sample(range(200), 1 + i % 14)))) for i in range(240)]
+    rows += [(300 + i, text.replace("w150", "z")) for i, text in rows[10:15]]
+    want = sorted(brute.jaccard(rows), key=repr)
+    assert got(jaccard.link(wide(spark, rows)), "doc_id", "n_shingles", "component_id") == want
+    assert sum(asked[3:]) < 600, asked
+
+
+def test_jaccard_rows_of_mixed_lists(spark):
+    """Bits that drop rows before the shuffle drop none of a list of several components."""
+    rows = [(key, 3 * key + i, 9, key + i * (key % 3 == 0)) for key in range(-300, 300) for i in range(2)]
+    lists = spark.createDataFrame(rows, "key bigint, id bigint, n bigint, group bigint")
+    want = sorted(r for r in rows if r[0] % 3 == 0)
+    for most in (0, 1000):
+        assert got(jaccard._of_mixed(lists, most), "key", "id", "n", "group") == sorted(want, key=repr)
+
+
+def test_components_in_one_task_or_many(spark):
+    rng = random.Random(8)
+    pairs = [(rng.randrange(90), rng.randrange(90)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(20)]
+    for kind, as_id in (("bigint", int), ("string", "é{}".format)):
+        edges = spark.createDataFrame([(as_id(a), as_id(b)) for a, b in pairs], f"a {kind}, b {kind}")
+        out = got(graph.components(edges), "id", "component")
+        assert out == got(graph.components(edges, most=0), "id", "component") and len(out) == len({x for p in pairs for x in p})
+    assert graph.components(edges.limit(0)).collect() == []
+
+
 def test_jaccard_words_are_compared():
     """Words are those of the pattern, with A-Z lower-cased, as the hashes see them too."""
     text = "A\x1fb\x0bC É\u00a0x\x85 d\x0ce\r\n f"
