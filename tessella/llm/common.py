@@ -60,10 +60,11 @@ def delete(spark: SparkSession, path: str) -> None:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, outside: bool = False) -> DataFrame:
+def stored(df: DataFrame, outside: bool = False, compression: str | None = None) -> DataFrame:
     """Writes rows to the shared folder and reads them back: a lost executor costs no recomputation.
 
     Spark drops the shuffles of the write at its end, as nothing reads them again. outside: the rows outlast the innermost workspace().
+    compression: of the files, if not the session's.
     """
     spark = df.sparkSession
     folders = _folders.get()[:-1] if outside else _folders.get()
@@ -71,7 +72,7 @@ def stored(df: DataFrame, outside: bool = False) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)

@@ -22,6 +22,8 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -185,15 +187,16 @@ def _settled(blocks: list[tuple[str, str]]) -> bool:
     return any(kind == "kept" for kind, _ in blocks)
 
 
-def packed(blocks: list[tuple[str, str]]) -> str:
-    return "".join(kind[0] + text + _END for kind, text in blocks)
+def packed(blocks: list[tuple[str, str]]) -> bytes:
+    """A page's blocks for the shuffle. Compressed, as Spark's own compression of shuffles leaves half as much again."""
+    return zlib.compress("".join(kind[0] + text + _END for kind, text in blocks).encode("utf-8", "surrogatepass"))
 
 
 _KINDS = {"k": "kept", "d": "dropped", "o": "open"}
 
 
-def unpacked(page: str) -> list[tuple[str, str]]:
-    return [(_KINDS[x[0]], x[1:]) for x in page.split(_END)[:-1]]
+def unpacked(page: bytes) -> list[tuple[str, str]]:
+    return [(_KINDS[x[0]], x[1:]) for x in zlib.decompress(page).decode("utf-8", "surrogatepass").split(_END)[:-1]]
 
 
 def texts_of(parsed: list[list[tuple[str, str]]], long: int = LONG, elsewhere: np.ndarray | None = None, boiler: np.ndarray | None = None) -> tuple[list[tuple[str, int]], np.ndarray]:
@@ -252,10 +255,10 @@ def _parsed(pages: DataFrame, kind: str) -> DataFrame:
     """page_id, url, host, part, several, blocks (packed): html is parsed before it is dealt to groups."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        blocks = pa.array([packed(blocks_of(x or "")) for x in batch.column(5).to_pylist()], pa.string())
+        blocks = pa.array([packed(blocks_of(x or "")) for x in batch.column(5).to_pylist()], pa.binary())
         return pa.RecordBatch.from_arrays([*batch.columns[:5], blocks], ["page_id", "url", "host", "part", "several", "blocks"])
 
-    return by_batch(pages.select("page_id", "url", "host", "part", "several", "html"), step, f"page_id {kind}, url string, host string, part long, several boolean, blocks string")
+    return by_batch(pages.select("page_id", "url", "host", "part", "several", "html"), step, f"page_id {kind}, url string, host string, part long, several boolean, blocks binary")
 
 
 def _windows_of(pages: DataFrame, counted: bool, only_asking: bool) -> DataFrame:
@@ -356,7 +359,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     dealt = parsed.select(*wanted).repartition(tasks, "host", "part").groupBy("host", "part")
     if not parts.limit(1).count():
         return dealt.applyInArrow(lambda t: one(t), told).select(*columns)
-    out = stored(dealt.applyInArrow(lambda t: one(t), told))
+    out = stored(dealt.applyInArrow(lambda t: one(t), told), compression="zstd")  # written while the shuffle is still there
     groups = stored(out.where("pages is not null").select("host", "pages", "heavy", "open"))
     named = stored(groups.select("host", F.explode("heavy").alias("window")).distinct())
     asking = stored(groups.where(F.lit(counted) | F.col("open")).select("host").distinct())
