@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ def workspace(spark: SparkSession) -> Iterator[str]:
     """A folder for the intermediate tables of what is called inside, deleted at its end. Frames made inside are to be read inside.
 
     Without a workspace, each intermediate table has a folder of its own, which stays until the shared folder is cleared.
+    Broadcasts of what was called inside go at its end too.
     """
     path = f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}"
     token = _folders.set((*_folders.get(), path))
@@ -50,6 +52,13 @@ def workspace(spark: SparkSession) -> Iterator[str]:
     finally:
         _folders.reset(token)
         delete(spark, path)
+        release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Has executors drop the broadcasts of queries that ended: Spark tells them to once the driver's JVM has collected those queries, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -57,6 +66,9 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Where the tables are that stored() gave.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -75,7 +87,14 @@ def stored(df: DataFrame, outside: bool = False, compression: str | None = None)
         df.write.parquet(path, compression=compression)
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that stored() gave, before its workspace ends. Frames made of it can't be read any more."""
+    delete(df.sparkSession, _paths.pop(df))
 
 
 def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -115,7 +134,7 @@ def trim() -> None:
 
 
 #: Most bytes of an Arrow batch, and of the slice of it that a function sees.
-BATCH_BYTES, SLICE_BYTES = 8 << 20, 2 << 20
+BATCH_BYTES, SLICE_BYTES = 2 << 20, 2 << 20
 
 
 def by_batch(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:

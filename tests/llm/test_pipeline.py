@@ -1,9 +1,11 @@
 """The pipeline, stage by stage, against plain forms on a small table."""
 
+import time
 from pathlib import Path
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessella.llm import common, jaccard, langid, secret_scan
@@ -60,6 +62,23 @@ def test_intermediate_tables_go_and_others_stay(spark):
     assert len({p.name for p in top.iterdir()} - before) == 1
 
 
+def test_broadcasts_go_with_their_workspace(spark):
+    def blocks():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().master().getStorageStatus()
+        return {str(x) for status in found for x in str(status.blocks().keySet().mkString(" ")).split() if x.startswith("broadcast_")}
+
+    before = blocks()
+    with common.workspace(spark):
+        for i in range(3):
+            common.stored(spark.range(100).join(F.broadcast(spark.range(50).withColumn("x", F.lit(i))), "id"))
+        assert len(blocks() - before) >= 3
+    for _ in range(50):  # the last query's own block may stay
+        if len(blocks() - before) < 3:
+            break
+        time.sleep(0.1)
+    assert len(blocks() - before) < 3
+
+
 def test_a_cluster_names_its_shared_folder():
     class Session:
         class conf:
