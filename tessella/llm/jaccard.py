@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Words, by_batch, chunks, commonest, grams, maybe_broadcast, mix, raw, stored, workspace
+from .common import BROADCAST_ROWS, Words, by_batch, chunks, commonest, discard, grams, maybe_broadcast, mix, raw, stored, workspace
 from .graph import components
 
 WORDS, PERCENT = 5, 80
@@ -131,8 +131,9 @@ def _common_words(docs: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
         hashes, n = np.unique(np.concatenate(seen), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
-    counted = stored(by_batch(docs, count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"))
-    hashes, n = _most_common(counted, "word", limit)
+    with workspace(docs.sparkSession):
+        counted = stored(by_batch(docs, count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"))
+        hashes, n = _most_common(counted, "word", limit)
     return hashes, np.floor(np.log2(n + 1)).astype(np.int64)
 
 
@@ -236,11 +237,7 @@ def _sizes_allow(a: str, b: str, percent: int) -> Column:
 
 
 def _verified(left: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The (a, b) pairs whose texts link, by their words. Each pair's texts meet in one row, so a set with many pairs is spread over tasks."""
-    involved = stored(left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct())
-    texts = stored(docs.select("id", "text").join(maybe_broadcast(involved), "id", "left_semi"))
-    text = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"{c}_text"))
-    wide = text("a").join(maybe_broadcast(left), "a").join(text("b"), "b").select("a", "b", "a_text", "b_text")
+    """The (a, b) pairs whose texts link, by their words. Each pair's texts meet in one row, so a set with many pairs is spread over tasks. Only the pairs stay stored."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         of: dict[bytes, np.ndarray] = {}
@@ -262,7 +259,12 @@ def _verified(left: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
         return pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(same, pa.bool_()))
 
     kind = left.schema["a"].dataType.simpleString()
-    return by_batch(wide, step, f"a {kind}, b {kind}").distinct()
+    with workspace(left.sparkSession):
+        involved = stored(left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct())
+        texts = stored(docs.select("id", "text").join(maybe_broadcast(involved), "id", "left_semi"))
+        text = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"{c}_text"))
+        wide = text("a").join(maybe_broadcast(left), "a").join(text("b"), "b").select("a", "b", "a_text", "b_text")
+        return stored(by_batch(wide, step, f"a {kind}, b {kind}").distinct(), outside=True)
 
 
 #: Members of a list with which all others are compared at first, and how many times as many each time it is still open.
@@ -410,15 +412,16 @@ BITS = 1 << 24
 
 def _of_mixed(lists: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of the keys whose members are of several components. Most keys are of one row; where those asked for are too many to broadcast, bits of them drop most other rows before the shuffle."""
-    keys = stored(_mixed(lists))
-    n = keys.count()
-    if n > most and n <= BITS:
-        place = F.xxhash64("key").bitwiseAND(F.lit(BITS - 1))
-        # of the low 24 bits of a hash 18 name a row of the table and 6 a bit in it
-        row, bit = F.shiftright(place, 6).alias("row"), F.expr("shiftleft(1L, cast(xxhash64(key) & 63 as int))")
-        bits = stored(keys.select(row, bit.alias("bit")).groupBy("row").agg(F.bit_or("bit").alias("bits")))
-        lists = lists.withColumn("row", row).join(F.broadcast(bits), "row").where(F.col("bits").bitwiseAND(bit) != 0).drop("row", "bits")
-    return stored(lists.join(F.broadcast(keys) if n <= most else keys, "key"))
+    with workspace(lists.sparkSession):
+        keys = stored(_mixed(lists))
+        n = keys.count()
+        if n > most and n <= BITS:
+            place = F.xxhash64("key").bitwiseAND(F.lit(BITS - 1))
+            # of the low 24 bits of a hash 18 name a row of the table and 6 a bit in it
+            row, bit = F.shiftright(place, 6).alias("row"), F.expr("shiftleft(1L, cast(xxhash64(key) & 63 as int))")
+            bits = stored(keys.select(row, bit.alias("bit")).groupBy("row").agg(F.bit_or("bit").alias("bits")))
+            lists = lists.withColumn("row", row).join(F.broadcast(bits), "row").where(F.col("bits").bitwiseAND(bit) != 0).drop("row", "bits")
+        return stored(lists.join(F.broadcast(keys) if n <= most else keys, "key"), outside=True)
 
 
 def _some(df: DataFrame) -> bool:
@@ -459,7 +462,7 @@ def _link(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int,
         pairs = _met(lists, hubs, percent)
         new = stored((pairs.unionByName(sure).distinct() if sure is not None else pairs).join(compared, ["a", "b"], "left_anti"))
         compared = compared.unionByName(new)
-        more = stored(_verified(stored(_possible(new, sets, percent)), texts, words, percent))
+        more = _verified(stored(_possible(new, sets, percent)), texts, words, percent)
         if _some(more):
             edges = stored(edges.unionByName(more))
             labels = components(edges)
@@ -468,6 +471,9 @@ def _link(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int,
     labelled = sets.select("id", "n", "prefix").join(maybe_broadcast(labels), "id", "left")
     tokens = labelled.select(F.explode("prefix").alias("key"), "id", "n", F.coalesce("component", "id").alias("group"))
     lists = _of_mixed(tokens)
+    # the tokens are not read again, and take as much room as the rest of the sets
+    whole, sets = sets, stored(sets.drop("firsts", "prefix"))
+    discard(whole)
     hubs = stored(_hubs(lists, HUBS))
     still = met(lists, hubs)
     number, round_ = HUBS * MORE, 0
@@ -481,6 +487,7 @@ def _link(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int,
         else:
             listed, sure = _apart(still, left, words, percent, kind)
         lists = _open(listed, labels)
+        discard(listed)
         still = met(lists, stored(_hubs(lists, number)), sure)
         number, round_ = number * MORE if round_ else number, round_ + 1
     of_text = heads.join(labels.withColumnRenamed("id", "head"), "head", "left").select("digest", F.coalesce("component", "head").alias("component"))

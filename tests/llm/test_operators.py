@@ -1,6 +1,7 @@
 """Operators against plain forms: odd rows, then the small tables."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tessella.llm import ann, bpe, chat, decontam, graph, html_text, jaccard, langid, queries, secret_scan, substring, urls
+from tessella.llm import ann, bpe, chat, common, decontam, graph, html_text, jaccard, langid, queries, secret_scan, substring, urls
 
 from . import brute
 
@@ -132,6 +133,22 @@ def test_jaccard_changed_copies_meet_by_their_changes(spark, monkeypatch):
     assert sum(asked[3:]) < 125 * 124 / 2 / 4, asked  # once the lists of the second order are met
 
 
+def test_jaccard_keeps_no_table_that_is_done_with(spark, monkeypatch):
+    """Once the prefixes are listed no stored table has them, and texts that met are not stored any more."""
+    held, possible = [], jaccard._possible
+
+    def seen(pairs, sets, percent):
+        top = Path(common._folders.get()[-1].removeprefix("file:"))
+        held.append({f"{p.name}: {c}" for p in top.iterdir() for c in spark.read.parquet(str(p)).columns if c in ("firsts", "prefix", "text")})
+        return possible(pairs, sets, percent)
+
+    monkeypatch.setattr(jaccard, "_possible", seen)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[:50] + [f"x{i}"] * (i % 3))) for i in range(9)] + [(20 + i, " ".join([*words[i : i + 30], f"y{i}"])) for i in range(9)]
+    assert got(jaccard.link(wide(spark, rows)), "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard(rows), key=repr)
+    assert len(held) > 1 and held[0] and not any(held[1:]), held
+
+
 def test_jaccard_copies_far_from_a_common_text_do_not_meet(spark, monkeypatch):
     """Texts far from the one that all were made from lack the same words of it, and meet only if what they share allows a link."""
     asked, possible = [], jaccard._possible
